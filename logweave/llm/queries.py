@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import nearest, packing, runs, splitting, tokenizer
+from logweave.llm import nearest, packing, residue, runs, splitting, tokenizer
 from logweave.session import ship, table
 
 
@@ -33,7 +33,16 @@ def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(ship(spark), sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_bins": p9_bins}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found_residue(table(ship(spark), sf_dir, "documents"))
+
+
+def p10_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The remaining corpus."""
+    return residue.remaining_corpus(table(ship(spark), sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_corpus": p10_corpus}
 
 SQL = {
     "p5_found": r"""
