@@ -37,7 +37,7 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7
 SQL = {
     "p2_found": r"""
 with b as (
-  select distinct replace(source_path, '\\', '/') as p, epoch_us(time_start) as s, epoch_us(time_end) as e
+  select distinct replace(source_path, '\', '/') as p, epoch_us(time_start) as s, epoch_us(time_end) as e
   from log_chunks where has_time and time_start is not null and time_end is not null and time_start <= time_end and source_path is not null),
 m as (select p, s, e, max(e) over (partition by p order by s, e rows between unbounded preceding and 1 preceding) as reach from b),
 g as (select p, s, e, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by p order by s, e rows unbounded preceding) as no from m),
