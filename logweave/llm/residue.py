@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.session import ensure_checkpoint_dir
+
 #: A line is boilerplate of a host where it stands in so many different texts, and in so large a share of them.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.01
 
@@ -195,7 +197,7 @@ def _judge_piece(piece: str, line: str) -> str:
     return "fragment" if len(words) <= 6 and len(piece) <= 60 and not (ended and len(words) > 3) else "content"
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), ("line_hash", pa.int64()), ("kind", pa.string())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("text_hash", pa.int64()), ("line_hash", pa.int64()), ("kind", pa.string())])
 
 
 def _hash(value: str) -> int:
@@ -216,7 +218,7 @@ def judged_lines(documents: DataFrame) -> DataFrame:
             for key, host, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not text or not text.strip():
                     continue
-                host = host or ""
+                host = _hash(host or "")
                 tidy = clean(text)
                 lines = lines_of(tidy)
                 whole = "field" if holds_field(tidy) else "filler" if _FILLER_HINT.search(tidy) and any(map(is_filler, lines)) else ""
@@ -240,7 +242,7 @@ def judged_lines(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return slim.mapInArrow(read, "doc_id bigint, host string, text_hash bigint, line_hash bigint, kind string")
+    return slim.mapInArrow(read, "doc_id bigint, host bigint, text_hash bigint, line_hash bigint, kind string")
 
 
 def excluded_documents(documents: DataFrame) -> DataFrame:
@@ -251,17 +253,13 @@ def excluded_documents(documents: DataFrame) -> DataFrame:
     source is a host of its own.  Lines are counted over all documents, by
     partial aggregation on (host, line).
     """
-    lines = judged_lines(documents)
+    ensure_checkpoint_dir(documents.sparkSession)
+    lines = judged_lines(documents).checkpoint()  # read once, used four times
     certain = lines.where("kind in ('field', 'filler')").select("doc_id", F.col("kind").alias("reason"))
-    counted = lines.where("line_hash is not null")
-    by_line = counted.groupBy("host", "line_hash").agg(F.approx_count_distinct("text_hash", 0.05).alias("n_texts"))
-    by_host = counted.groupBy("host").agg(F.approx_count_distinct("text_hash", 0.02).alias("host_texts"))
-    recurrent = (
-        by_line.where(F.col("n_texts") >= LEAST_TEXTS)
-        .join(by_host, "host")
-        .where(F.col("n_texts") >= F.lit(LEAST_SHARE) * F.col("host_texts"))
-        .select("line_hash", F.lit(True).alias("boilerplate"))
-    )
+    counted = lines.where("line_hash is not null").select("host", "text_hash", "line_hash").distinct()
+    by_line = counted.groupBy("host", "line_hash").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= LEAST_TEXTS)
+    by_host = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
+    recurrent = by_line.join(by_host, "host").where(F.col("n_texts") >= F.lit(LEAST_SHARE) * F.col("host_texts")).select("line_hash", F.lit(True).alias("boilerplate"))
     candidates = lines.where("kind not in ('field', 'filler', 'line')").select("doc_id", "line_hash", "kind")
     residual = candidates.join(recurrent, "line_hash", "left")
     notice = (
