@@ -105,12 +105,14 @@ _NUMBERS = re.compile(r"\d+")
 _MIXED = re.compile(r"\b(?=\w*\d)\w+\b")
 #: Words that are no evidence on their own.
 _ALONE = frozenset("error errors fehler fel http status gateway load request requests exist exists unfortunately unable login nothing failed checking expired removed moved limited existiert saknar".split())
-#: A text without any of these is not judged further.
-_HINT = re.compile(
-    "(?i)script|\\bjs\\b|error|fehler|\\bfel\\b|[45]\\d\\d|forbidden|unauthori|denied|unavailable|time-?d?-?out|gone|expired|refused|failed|broken|unable|limited|maintenance|wrong"
-    "|unfortunately|removed|moved|permission|login|reached|verweigert|gefunden|aufgetreten|existiert|hitta|behörighet|saknar|nekad|checking|exist|load|gateway|request|nothing|missing|overloaded|conflict|exception|oväntat|upstream"
+#: Only lines with one of these words, or a number like a status, can be evidence or filler.
+_EVIDENCE_KEYS = SCRIPT_WORDS | ERROR_WORDS
+_FILLER_KEYS = LATIN_SURE | frozenset(
+    "todo appear comes goes placeholder added written completed filled determined supplied hier här insert dummy sample example filler blind text blindtext platshållartext exempeltext exempel tbd tba soon xxx "
+    "replace overwrite type click platzhaltertext platzhalter entry record kommer folgt kommt snart fill fyll ausfüllen blah bla xyz texten".split()
 )
-_FILLER_HINT = re.compile(r"(?i)ipsum|dolor|amet|lorem|todo|appear|comes here|goes here|placeholder|to be |hier |här |insert|dummy|sample|filler|blind|platshållar|exempel|tbd|tba|coming soon|xxx|replace|ersetzen|byt ut|fill |fyll|platzhalter|second text|test entry|text om|text text|blah|kommer|folgt|overwrite this|type your|click here|type ")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_STATUS_NUMBER = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CODE_LIKE = re.compile(r"[{};=<>\\]|[A-Za-z]\.[A-Za-z]|\d\d:\d\d")
 _FOOT = re.compile(r"(?i)[a-z]+/\d+(?:\.\d+)*|(?:request id|ref|reference|id|trace id)\b[.: ]*[0-9a-f-]{4,}|page \d+ of \d+")
 
@@ -197,6 +199,21 @@ def _judge_piece(piece: str, line: str) -> str:
     return "fragment" if len(words) <= 6 and len(piece) <= 60 and not (ended and len(words) > 3) else "content"
 
 
+def examine(tidy: str, lines: list[str]) -> tuple[str, list[str]]:
+    """``field``, ``filler`` or nothing for a whole text, and the kinds of its lines."""
+    kinds = ["line"] * len(lines)
+    if holds_field(tidy):
+        return "field", kinds
+    held = set(_LETTERS.findall(tidy.lower()))
+    if held & _FILLER_KEYS and any(is_filler(line) for line in lines if not _FILLER_KEYS.isdisjoint(_LETTERS.findall(line.lower()))):
+        return "filler", kinds
+    if held & _EVIDENCE_KEYS or _STATUS_NUMBER.search(tidy):
+        for line in lines:
+            if (_STATUS_NUMBER.search(line) or not _EVIDENCE_KEYS.isdisjoint(_LETTERS.findall(line.lower()))) and judge(line) in ("script", "error"):
+                return "", [judge(x) for x in lines]
+    return "", kinds
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("text_hash", pa.int64()), ("line_hash", pa.int64()), ("kind", pa.string())])
 
 
@@ -221,12 +238,7 @@ def judged_lines(documents: DataFrame) -> DataFrame:
                 host = _hash(host or "")
                 tidy = clean(text)
                 lines = lines_of(tidy)
-                whole = "field" if holds_field(tidy) else "filler" if _FILLER_HINT.search(tidy) and any(map(is_filler, lines)) else ""
-                kinds = ["line"] * len(lines)
-                if not whole and _HINT.search(tidy):
-                    judged = [judge(line) for line in lines]
-                    if "error" in judged or "script" in judged:
-                        kinds = judged
+                whole, kinds = examine(tidy, lines)
                 text_hash = _hash(tidy)
                 seen = set()
                 for line, kind in zip(lines, kinds, strict=True):
