@@ -60,7 +60,7 @@ def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per long word of the reference the stages that hold it."""
-    return _presence(spark, sf_dir)
+    return _presence(spark, sf_dir).select("id", "line", "asked", "retrieved", "answered")
 
 
 def grounded_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ s as (select id, sum(covered) as chars, count(*) filter (covered > 0) as lines f
 select l.id, cast(coalesce(chars, 0) as int) as chars, round(coalesce(coalesce(chars, 0) / nullif(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0), 0), 0), 6) as chars_recall,
 round(coalesce(coalesce(chars, 0) / nullif(coalesce(list_sum(list_transform(p, lambda x: length(x))), 0), 0), 0), 6) as chars_precision, cast(coalesce(lines, 0) as int) as lines, round(coalesce(coalesce(lines, 0) / nullif(len(t), 0), 0), 6) as lines_recall
 from l left join s using (id)""",
-    "presence_matrix": f"with {_PRESENCE} select id, cast(line_no as int) as line_no, line, asked, retrieved, answered from presence",
+    "presence_matrix": f"with {_PRESENCE} select id, line, asked, retrieved, answered from presence",
     "grounded_per_sample": f"with {_GROUNDED} select * from per",
     "grounded_chain": f"""with {_GROUNDED} select round(coalesce(sum(retrieved_lines) / nullif(sum(n_lines), 0), 0), 9) as retrieved, round(coalesce(sum(answered_lines) / nullif(sum(n_lines), 0), 0), 9) as answered,
 round(coalesce(sum(answered_chars) / nullif(sum(n_chars), 0), 0), 9) as answered_chars, count(*) as n_samples from per""",
