@@ -51,7 +51,7 @@ def test_expectation_maximisation_learns_and_marks(spark):
     assert 0.4 < weights["dot:DMY"] < 0.6
     schema = "origin string, rec_id bigint, source string, unit string, path string, value string, sheets boolean"
     data = [("x", i, "s", "U", None, v, False) for i, v in enumerate(["03.04.2016 10:00", "25.04.2016 10:00"])]
-    data += [("x", 10, "t", "U", None, "03.04.2016 10:00", False), ("x", 11, "v", "?", None, "2016-04-03 10:00", False), ("x", None, None, None, None, None, None)]
+    data += [("x", 10, "t", "U", None, "03.04.2016 10:00", False), ("x", 11, "v", "?", None, "2016-04-23 10:00", False), ("x", None, None, None, None, None, None)]
     zones = spark.createDataFrame([("U", "UTC")], "unit string, zone_name string")
     got = {r.rec_id: (r.status, r.utc_us) for r in normalise_times(spark.createDataFrame(data, schema), zones, excluded=frozenset()).collect()}
     assert got[0] == ("resolved", us(2016, 4, 3, 10)) and got[1][0] == "resolved"
