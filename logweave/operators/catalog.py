@@ -33,10 +33,10 @@ def extension(path: Column) -> Column:
 
 
 def file_kind(name: Column, ignored: tuple[str, ...] = ()) -> Column:
-    """Kind of a file by its first dotted part that is a known kind; ``unk`` if none is, null if it is ignored."""
+    """Kind of a file by its first dotted part that is a known kind; ``unk`` if none is, null if it is ignored or null."""
     base = F.regexp_replace(F.lower(name), r"\.(bkp|old|[0-8])", "")
     known = F.filter(F.split(base, "\\."), lambda p: p.isin(*KINDS))
-    kind = F.when(base == "", "none").when(F.size(known) > 0, F.get(known, F.lit(0))).otherwise("unk")
+    kind = F.when(base.isNull(), F.lit(None).cast("string")).when(base == "", "none").when(F.size(known) > 0, F.get(known, F.lit(0))).otherwise("unk")
     for part in ignored:
         kind = F.when(F.contains(name, F.lit(part)), F.lit(None)).otherwise(kind)
     return kind
