@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # File kinds, rotation endings and archive endings.
@@ -106,3 +107,44 @@ def looks_binary(head: Column) -> Column:
     controls = F.regexp_count(pairs, F.lit(r"(?:0[1-8]|0[EF]|1[0-9A-F]|7F) "))
     n = F.length(head)
     return F.when(n == 0, F.lit(False)).otherwise(F.regexp_like(pairs, F.lit(r"(^| )00 ")) | (controls > n * 0.2))
+
+
+def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
+    """``unique`` names: the first bearer keeps its name, the n-th more is called ``n-name``.
+
+    Bearers of one name are numbered by ``order``; a name with a third of all
+    files is a window of numbers only, which spills.
+    """
+    slim = files.select(F.col(name).alias("name"), F.col(order).alias("key"))
+    place = F.row_number().over(W.partitionBy("name").orderBy("key")) - 1
+    return slim.withColumn("place", place).select("key", F.when(F.col("place") == 0, F.col("name")).otherwise(F.concat(F.col("place").cast("string"), F.lit("-"), "name")).alias("unique"))
+
+
+def collapse_siblings(listing: DataFrame, marked: str) -> DataFrame:
+    """Sorted listings (folder, name) with runs of names that hold ``marked`` as one line: (folder, first_name, n)."""
+    order = W.partitionBy("folder").orderBy("name")
+    is_marked = F.contains("name", F.lit(marked))
+    numbered = listing.select("folder", "name", is_marked.alias("m"), F.row_number().over(order).alias("n"))
+    run = F.when(F.col("m"), F.col("n") - F.row_number().over(W.partitionBy("folder", "m").orderBy("name"))).otherwise(-F.col("n"))
+    return numbered.withColumn("run", run).groupBy("folder", "m", "run").agg(F.min("name").alias("first_name"), F.count("*").alias("n")).select("folder", "first_name", "n")
+
+
+def dated_folders(paths: DataFrame, path: str) -> DataFrame:
+    """Folders whose name is a date, or begins with one before a ``T``: (folder, day); impossible dates are left out."""
+    names = paths.select(F.explode(F.split(F.col(path), r"[/\\]")).alias("folder")).distinct()
+    day = F.split("folder", "T")[0]
+    return names.where(F.regexp_like(day, F.lit(r"^\d{4}-\d{2}-\d{2}$"))).select("folder", F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date").alias("day")).where("day is not null")
+
+
+def decide_files(files: DataFrame, path: str, rules: dict[str, bool], default: bool | None = None) -> DataFrame:
+    """``wanted`` by extension: the rule of the extension, else the default; null counts as a miss."""
+    decided = F.lit(default).cast("boolean")
+    for ext, wanted in rules.items():
+        decided = F.when(extension(F.col(path)) == ext, F.lit(wanted)).otherwise(decided)
+    return files.withColumn("wanted", decided)
+
+
+def peek(files: DataFrame, suffix: str, n: int) -> DataFrame:
+    """The first ``n`` bytes as text of files (path, content) with a suffix; empty files give an empty text."""
+    ending = files.where(F.lower("path").endswith(suffix.lower()))
+    return ending.select("path", F.make_valid_utf8(F.substring("content", 1, n).cast("string")).alias("head"))

@@ -204,3 +204,88 @@ def porter_stem(word: str) -> str:
     if word.endswith("ll") and _measure(word) > 1:
         word = word[:-1]
     return word
+
+
+def retrieval(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Recall and precision of retrieved chunks (id, chunk) against relevant ones; repeated chunks count once."""
+    both = relevant.select("id", "chunk").distinct().withColumn("r", F.lit(1)).join(retrieved.select("id", "chunk").distinct().withColumn("g", F.lit(1)), ["id", "chunk"], "full")
+    hit = F.count_if(F.col("r").isNotNull() & F.col("g").isNotNull())
+    part = lambda n: F.round(F.coalesce(F.try_divide(hit, F.count(n)), F.lit(0.0)), 6)
+    return both.groupBy("id").agg(F.count("r").alias("n_relevant"), F.count("g").alias("n_retrieved"), part("r").alias("recall"), part("g").alias("precision"))
+
+
+def consume_words(target: str, lines: list[str]) -> tuple[int, int]:
+    """Words of a target that the lines use up, and all its words.
+
+    Each word of each line removes one `` word `` with both its blanks from
+    the target, in order: neighbours of a removed word grow together and are
+    no longer found.
+    """
+    rest = f" {' '.join(target.split())} "
+    total, used = len(target.split()), 0
+    for line in lines:
+        for word in line.split():
+            at = rest.find(f" {word} ")
+            if at >= 0:
+                rest = rest[:at] + rest[at + len(word) + 2 :]
+                used += 1
+    return used, total
+
+
+def generated_recall(reference: list[str], generated: list[str]) -> tuple[float, float, float]:
+    """Recall of characters, words and lines of a reference in generated lines.
+
+    Each word of a generated line serves one word of each reference line; a
+    reference line is hit if a generated line is part of it.  Blank lines
+    count on neither side; without a reference all are 0.
+    """
+    said = [line for line in generated if line.strip()]
+    lines = [line for line in reference if line.strip()]
+    chars = words = hits = all_chars = all_words = 0
+    pool = [w for line in said for w in line.lower().split()]
+    for line in lines:
+        left = list(pool)
+        for word in line.lower().split():
+            all_words += 1
+            all_chars += len(word)
+            if word in left:
+                left.remove(word)
+                words += 1
+                chars += len(word)
+        hits += any(s.strip() in line for s in said)
+    return (chars / all_chars if all_chars else 0.0), (words / all_words if all_words else 0.0), (hits / len(lines) if lines else 0.0)
+
+
+def text_recall(pairs: DataFrame) -> DataFrame:
+    """``consume_words`` and ``generated_recall`` of (id, target, predicted) texts."""
+    kind = dict(pairs.dtypes)["id"]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, target, predicted in batch.itertuples(index=False):
+                t, p = (target or "").split("\n"), (predicted or "").split("\n")
+                rows.append((key, *consume_words(target or "", p), *generated_recall(t, p)))
+            yield pd.DataFrame(rows, columns=["id", "used", "words", "char_recall", "word_recall", "line_recall"])
+
+    return pairs.select("id", "target", "predicted").mapInPandas(score, f"id {kind}, used bigint, words bigint, char_recall double, word_recall double, line_recall double")
+
+
+def keyword_counts(texts: DataFrame, text: str, keywords: tuple[str, ...]) -> DataFrame:
+    """Texts that hold each keyword, letter case ignored: one row."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return texts.agg(*[F.count_if(F.contains(low, F.lit(k.lower()))).alias(k) for k in keywords])
+
+
+def density(values: DataFrame, column: str, low: float, high: float, points: int, width: float) -> DataFrame:
+    """Gaussian kernel density on an even grid: (x, density).
+
+    Values are counted first; each distinct value is exploded to the grid, so
+    the cost follows the distinct values.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = values.where(F.col(column).isNotNull()).count()
+    step = (high - low) / (points - 1)
+    grid = counts.select("v", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * F.lit(step))).alias("x"))
+    weight = F.exp(-F.pow((F.col("x") - F.col("v")) / F.lit(width), F.lit(2)) / 2) / F.lit(max(total, 1) * width * (2 * np.pi) ** 0.5)
+    return grid.groupBy("x").agg(F.sum(F.col("n") * weight).alias("density"))

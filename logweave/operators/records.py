@@ -114,3 +114,32 @@ def assemble(timed: DataFrame, key: str, first: Column | None = None, last: Colu
     if first is not None and last is not None:
         records = records.where(F.col("ts").isNull() | F.col("ts").between(first, last))
     return records.select(key, "line_no", "ts", "n_lines", "text")
+
+
+def header_records(timed: DataFrame, key: str, anchors: DataFrame, first: Column, last: Column, static: bool = True) -> DataFrame:
+    """Records in a window with the rules for lines before the first time.
+
+    ``anchors`` (key, anchor) holds the date of the path.  Header lines without
+    an anchor are records of their own if static lines are kept; with an
+    anchor outside the window they are dropped; inside it they form one
+    record at the anchor.
+    """
+    order = W.partitionBy(key).orderBy("line_no")
+    opened = F.sum(F.col("ts").isNotNull().cast("int")).over(order)
+    rows = timed.join(anchors, key, "left").withColumn("opened", opened)
+    inside = F.col("anchor").between(first, last)
+    head = F.col("opened") == 0
+    kept = rows.where(~head | (F.col("anchor").isNull() & F.lit(static)) | F.coalesce(inside, F.lit(False)))
+    group = F.when(head & F.col("anchor").isNull(), -F.col("line_no") - 1).otherwise(F.col("opened"))
+    found = kept.withColumn("group", group).groupBy(key, "group").agg(
+        F.min("line_no").alias("line_no"), F.max(F.when(F.col("opened") == 0, F.col("anchor")).otherwise(F.col("ts"))).alias("ts"), F.count("*").alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
+    )
+    return found.where(F.col("ts").isNull() | F.col("ts").between(first, last)).select(key, "line_no", "ts", "n_lines", "text")
+
+
+def record_text(start: Column, end: Column, cnt: Column, text: Column) -> Column:
+    """A record as a line of text: its time or span, how often, and its text."""
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    several = F.concat(cnt.cast("string"), F.lit(" times between "), at(start), F.lit(" and "), at(end), F.lit(" "), text)
+    return F.when((cnt > 1) & start.isNotNull() & end.isNotNull(), several).when(start.isNotNull(), F.concat(at(start), F.lit(" "), text)).otherwise(text)
