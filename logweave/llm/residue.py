@@ -51,7 +51,7 @@ NOTICE_WORDS = (
     interner angeforderte angeforderten datei konnte wurde werden nochmals zurück gehen neu laden adresse prüfen und oder für mit im browser
     du denna detta sida sidan vy för att visa inte kunde på och igen om en stund försök adressen kontrollera ladda behörig rapport gå tillbaka senare ett internt har inträffat
     filen finns logga in session utgått tjänsten är otillgänglig begärda
-    viewing site's log logs use using keep signed desk rights reserved all persist quoted reference ref id there map existed ever here nothing yet stopped responding response responded unexpected exception occurred upstream answer time available unavailable any oväntat inträffade while""".split()
+    viewing site's log logs use using keep signed desk rights reserved all persist quoted reference ref id there map existed ever here nothing yet stopped responding response responded unexpected exception occurred upstream answer time available unavailable any oväntat inträffade while went""".split()
     )
 )
 
@@ -105,6 +105,10 @@ _NUMBERS = re.compile(r"\d+")
 _MIXED = re.compile(r"\b(?=\w*\d)\w+\b")
 #: Words that are no evidence on their own.
 _ALONE = frozenset("error errors fehler fel http status gateway load request requests exist exists unfortunately unable login nothing failed checking expired removed moved limited existiert saknar".split())
+#: Words that are evidence only beside a qualifier, and words that are plain evidence.
+_WEAK = frozenset("error errors fehler fel http status gateway load request requests exist exists nothing".split())
+_QUALIFIERS = frozenset("bad too many internal interner internt unexpected timeout time-out out here not".split())
+_PLAIN = frozenset("denied forbidden unauthorized unavailable refused unable permission verweigert existiert hittas hittades behörighet exception login".split())
 #: Only lines with one of these words, or a number like a status, can be evidence or filler.
 _EVIDENCE_KEYS = SCRIPT_WORDS | ERROR_WORDS
 _FILLER_KEYS = LATIN_SURE | frozenset(
@@ -114,6 +118,7 @@ _FILLER_KEYS = LATIN_SURE | frozenset(
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STATUS_NUMBER = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CODE_LIKE = re.compile(r"[{};=<>\\]|[A-Za-z]\.[A-Za-z]|\d\d:\d\d")
+_CODE_LINE = re.compile(r"[{};=\\]|%[sd]|\w_\w")
 _FOOT = re.compile(r"(?i)[a-z]+/\d+(?:\.\d+)*|(?:request id|ref|reference|id|trace id)\b[.: ]*[0-9a-f-]{4,}|page \d+ of \d+")
 
 
@@ -161,6 +166,8 @@ def is_filler(line: str) -> bool:
 
 def judge(line: str) -> str:
     """``script`` or ``error`` evidence, ``advice``, a short ``fragment``, or ``content``."""
+    if _CODE_LINE.search(line):
+        return "content"
     kinds = set()
     for piece in _PIECE.split(line):
         piece = (piece or "").strip(" .!?…:;,\"'*#-")
@@ -188,13 +195,19 @@ def _judge_piece(piece: str, line: str) -> str:
     held = set(words)
     joined = rest.lower()
     script = held & SCRIPT_WORDS or "java script" in joined or "client-side script" in joined or "active script" in joined
-    if words and (strange == 0 or strange == 1 and len(known) >= 4):  # one noun may be any
+    errors = held & ERROR_WORDS
+    if words and strange == 0:
         if script and held & REQUIRE_WORDS:
             return "script"
-        if numbered or held & ERROR_WORDS and not (len(words) == 1 and held & _ALONE):
+        if numbered or errors and (len(words) > 1 or errors - _ALONE) and (errors - _WEAK or held & _QUALIFIERS):
             return "error"
         if len(words) > 1:
             return "advice"
+    elif strange == 1 and len(known) >= 3:  # one noun may be any
+        if script and held & REQUIRE_WORDS:
+            return "script"
+        if numbered or errors & _PLAIN or errors and ("sorry" in held or errors - _WEAK and len(known) >= 6):
+            return "error"
     ended = line.rstrip().endswith((".", "!", "?", "。", ";"))
     return "fragment" if len(words) <= 6 and len(piece) <= 60 and not (ended and len(words) > 3) else "content"
 
