@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.functions.prefix import ranked
+
 # File kinds, rotation endings and archive endings.
 KINDS = ("log", "bin", "txt", "none", "status", "unk", "xml", "js")
 ROTATIONS = ("bkp", "old", "0", "1", "2", "3", "4", "5", "6", "7", "8")
@@ -112,12 +114,13 @@ def looks_binary(head: Column) -> Column:
 def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
     """``unique`` names: the first bearer keeps its name, the n-th more is called ``n-name``.
 
-    Bearers of one name are numbered by ``order``; a name with a third of all
-    files is a window of numbers only, which spills.
+    Bearers of one name are numbered by ``order``, a number column; a name
+    with a third of all files is spread over blocks of that order.
     """
     slim = files.select(F.col(name).alias("name"), F.col(order).alias("key"))
-    place = F.row_number().over(W.partitionBy("name").orderBy("key")) - 1
-    return slim.withColumn("place", place).select("key", F.when(F.col("place") == 0, F.col("name")).otherwise(F.concat(F.col("place").cast("string"), F.lit("-"), "name")).alias("unique"))
+    numbered = ranked(slim, ["name"], "key", 100_000)
+    more = F.col("rank") - 1
+    return numbered.select("key", F.when(more == 0, F.col("name")).otherwise(F.concat(more.cast("string"), F.lit("-"), "name")).alias("unique"))
 
 
 def collapse_siblings(listing: DataFrame, marked: str) -> DataFrame:

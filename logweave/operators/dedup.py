@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweave.functions.prefix import ranked
+
 
 def event_records(chunks: DataFrame) -> DataFrame:
     """Records of event chunks, one row each: source_path, id, pos, ts_start, ts_end, cnt, text."""
@@ -28,9 +30,11 @@ def reduction(records: DataFrame) -> DataFrame:
     return totals.withColumn("reduction", F.round(F.coalesce(1 - F.try_divide("n_texts", "n_events"), F.lit(0.0)), 6))
 
 
-def timeline(deduped: DataFrame) -> Column:
-    """Order of a timeline: unknown times first, then by last time, then text."""
-    return F.struct(F.col("ts_end").isNotNull(), F.col("ts_end"), F.col("text"))
+def timeline(deduped: DataFrame, width: int = 3_600_000_000) -> DataFrame:
+    """``place`` of every line in the timeline of its source: unknown times first, then by last time, then by the hash of the text."""
+    at = F.coalesce(F.unix_micros("ts_end"), F.lit(-(1 << 60)))
+    placed = ranked(deduped.withColumns({"__at": at, "__hash": F.md5("text")}), ["source_path"], "__at", width, ("__hash",))
+    return placed.withColumnRenamed("rank", "place").drop("__at", "__hash")
 
 
 def fixed_pieces(text: Column, size: Column | int) -> Column:

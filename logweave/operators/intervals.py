@@ -12,30 +12,15 @@ together.  An entity with a third of all rows is spread over its buckets.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.paths import same_path
+from logweave.functions.prefix import ranked
 
 #: Ranks of one entity that are sorted together when boundaries are numbered.
 BOUNDARIES_PER_BUCKET = 50_000
 
 
-def ranked(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
-    """``rank`` from 1 of every row within its keys by a number column, equal values in any order.
-
-    ``width`` is the size of the buckets that are sorted on their own.  Only
-    the counts per bucket pass through a window over the keys: at most the
-    span of the values divided by the width.
-    """
-    parted = rows.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)))
-    counts = parted.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy(order))
-    return parted.withColumn("__local", local).join(starts, [*keys, "__bucket"]).withColumn("rank", F.col("__before") + F.col("__local")).drop("__bucket", "__local", "__before", "__n")
-
-
 def periods_and_gaps(intervals: DataFrame, key: str = "entity", width: int = 6 * 3_600_000_000) -> DataFrame:
     """Continuous periods and the gaps between them: (key, kind, start_us, end_us).
 

@@ -11,9 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.functions.prefix import running_sum
+
+#: Lines of one file that are sorted together.
+LINES_PER_BLOCK = 20_000
+
 # Parser ids with their patterns, in order of precedence.
 _MON = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _DOW = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
@@ -104,9 +108,8 @@ def assemble(timed: DataFrame, key: str, first: Column | None = None, last: Colu
     With a window, only records whose time lies in it (both ends included)
     are kept, with their untimed lines; header lines are kept.
     """
-    order = W.partitionBy(key).orderBy("line_no")
-    opened = F.sum(F.col("ts").isNotNull().cast("int")).over(order)
-    grouped = timed.withColumn("group", F.when(opened == 0, -F.col("line_no") - 1).otherwise(opened))
+    counted = running_sum(timed.withColumn("__timed", F.col("ts").isNotNull().cast("int")), [key], "line_no", "__timed", LINES_PER_BLOCK, name="opened")
+    grouped = counted.withColumn("group", F.when(F.col("opened") == 0, -F.col("line_no") - 1).otherwise(F.col("opened")))
     records = grouped.groupBy(key, "group").agg(
         F.min("line_no").alias("line_no"), F.max("ts").alias("ts"), F.count("*").alias("n_lines"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
@@ -124,9 +127,8 @@ def header_records(timed: DataFrame, key: str, anchors: DataFrame, first: Column
     anchor outside the window they are dropped; inside it they form one
     record at the anchor.
     """
-    order = W.partitionBy(key).orderBy("line_no")
-    opened = F.sum(F.col("ts").isNotNull().cast("int")).over(order)
-    rows = timed.join(anchors, key, "left").withColumn("opened", opened)
+    counted = running_sum(timed.withColumn("__timed", F.col("ts").isNotNull().cast("int")), [key], "line_no", "__timed", LINES_PER_BLOCK, name="opened")
+    rows = counted.join(anchors, key, "left")
     inside = F.col("anchor").between(first, last)
     head = F.col("opened") == 0
     kept = rows.where(~head | (F.col("anchor").isNull() & F.lit(static)) | F.coalesce(inside, F.lit(False)))

@@ -6,9 +6,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.functions.prefix import running_sum
+
 
 def bin_of(value: Column, low: Column | float, high: Column | float, bins: int) -> Column:
     """Bin from 1 to ``bins`` of equal width; the highest value lies in the last."""
@@ -30,15 +31,16 @@ def histogram_outlier(values: DataFrame, column: str, width: float, highest: flo
     return values.where(F.col(column).isNotNull()).select(placed.cast("bigint").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def distribution(values: DataFrame, column: str) -> DataFrame:
+def distribution(values: DataFrame, column: str, width: float = 1000.0) -> DataFrame:
     """Per distinct value the shares at most and at least so large: (value, cdf, ccdf).
 
-    Values are counted first, so the one window runs over distinct values.
+    Values are counted first; the running sum is made in blocks of ``width``.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("value"))
-    total = F.sum("n").over(W.partitionBy())
-    return counts.select("value", F.round(upto / total, 9).alias("cdf"), F.round((total - upto + F.col("n")) / total, 9).alias("ccdf"))
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one number
+    upto = running_sum(counts.withColumn("all", F.lit(0)), ["all"], "value", "n", width, name="upto")
+    share = lambda c: F.round(c / F.lit(float(total)), 9)
+    return upto.select("value", share(F.col("upto")).alias("cdf"), share(F.lit(total) - F.col("upto") + F.col("n")).alias("ccdf"))
 
 
 def run_statistics(values: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.operators import dedup
@@ -25,9 +24,8 @@ def dedup_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every deduplicated line in the timeline of its source."""
-    rows = dedup.dedup_lines(_records(spark, sf_dir).where("ts_start is not null or ts_end is not null or size(split(text, ' ')) < 12"))
-    place = F.row_number().over(W.partitionBy("source_path").orderBy(F.col("ts_end").asc_nulls_first(), F.md5("text")))
-    return rows.select("source_path", F.md5("text").alias("text_md5"), place.alias("place"))
+    rows = dedup.dedup_lines(_records(spark, sf_dir))
+    return dedup.timeline(rows).select("source_path", F.md5("text").alias("text_md5"), "place")
 
 
 def chunk_fixed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +67,7 @@ from f group by source_path, text""",
 with {_RECORDS}, t as (select source_path, text, sum(coalesce(cnt, 1)) as c from f group by source_path, text)
 select source_path, cast(sum(c) as bigint) as n_events, count(*) as n_texts, round(coalesce(1 - count(*) / nullif(sum(c), 0), 0), 6) as reduction from t group by source_path""",
     "dedup_timeline": f"""
-with {_RECORDS}, g as (select source_path, text, max(coalesce(ts_end, ts_start)) as e from f
-  where ts_start is not null or ts_end is not null or len(string_split(text, ' ')) < 12 group by source_path, text)
+with {_RECORDS}, g as (select source_path, text, max(coalesce(ts_end, ts_start)) as e from f group by source_path, text)
 select source_path, md5(text) as text_md5, row_number() over (partition by source_path order by e nulls first, md5(text)) as place from g""",
     "chunk_fixed_split": """
 with p as (select doc_id, text, unnest(range(0, cast(ceil(length(text) / 1000.0) as bigint))) as i from documents where length(text) > 1000)

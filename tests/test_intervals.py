@@ -1,6 +1,7 @@
 import random
 
-from logweave.operators.intervals import found_periods, periods_and_gaps, ranked
+from logweave.functions.prefix import ranked, running_sum
+from logweave.operators.intervals import found_periods, periods_and_gaps
 
 SCHEMA = "entity string, start_us bigint, end_us bigint, rank string, k string"
 
@@ -44,3 +45,9 @@ def test_ranks(spark):
     frame = spark.createDataFrame([("a", i * 3 % 50) for i in range(50)] + [("b", 1), ("b", 1)], "key string, v bigint")
     got = sorted((r.key, r.v, r["rank"]) for r in ranked(frame, ["key"], "v", 4).collect())
     assert got == [("a", i, i + 1) for i in range(50)] + [("b", 1, 1), ("b", 1, 2)]
+
+
+def test_running_sums(spark):
+    data = [("a", 5, 2), ("a", 1, None), ("a", 900, 3), ("a", -7, 1), ("b", 0, 4)]
+    frame = spark.createDataFrame(data, "key string, at bigint, v bigint")
+    assert sorted(tuple(r) for r in running_sum(frame, ["key"], "at", "v", 10).select("key", "at", "running").collect()) == [("a", -7, 1), ("a", 1, 1), ("a", 5, 3), ("a", 900, 6), ("b", 0, 4)]
