@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.paths import cell_under, path_unit
+from logweave.functions.paths import cell_under, path_unit, same_path
+from logweave.operators import build
 from logweave.operators import matching as m
 from logweave.operators.timestamps import TIME_HEADERS, ticket_unit
 from logweave.session import table
@@ -117,7 +118,38 @@ def line_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("result_id", F.explode(m.line_variants(F.col("raw"))).alias("variant")).distinct()
 
 
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicated records from the hour before to ten minutes after every incident."""
+    unit = F.regexp_replace(path_unit(F.col("source_path")), "-", "")
+    records = table(spark, sf_dir, "log_chunks").select(unit.alias("unit"), same_path(F.col("source_path")).alias("source_path"), F.explode("content_json").alias("r"))
+    records = records.select("unit", "source_path", F.unix_micros("r.ts_start").alias("ts_us"), F.col("r.text").alias("text"), F.col("r.cnt").alias("cnt"))
+    incidents = _points(spark, sf_dir).select("unit", F.col("point_id").alias("incident_id"), "at_us")
+    return build.deduplicated(build.window_records(incidents, records, 3_600_000_000, 600_000_000))
+
+
+def incident_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence build: chunks of the records around every incident."""
+    return build.packed(_evidence(spark, sf_dir)).select("incident_id", "source_path", "chunk_id", "n_records", "n_chars")
+
+
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evidence of each incident amounts to before packing."""
+    return _evidence(spark, sf_dir).groupBy("incident_id").agg(F.count("*").alias("n_texts"), F.sum("cnt").alias("n_events"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+def dates_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of match results that are also dates of tickets."""
+    tickets = table(spark, sf_dir, "ticket_rows").select(F.explode("matched_dates").alias("day"))
+    return table(spark, sf_dir, "match_results").select(F.col("matched_date").alias("day")).intersect(tickets)
+
+
+def dates_in_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tickets = table(spark, sf_dir, "ticket_rows").select(F.explode("matched_dates").alias("day"))
+    return table(spark, sf_dir, "match_results").select(F.col("matched_date").alias("day")).unionByName(tickets).distinct()
+
+
 QUERIES = {
+    "incident_chunks": incident_chunks, "evidence_lines": evidence_lines, "dates_in_both": dates_in_both, "dates_in_either": dates_in_either,
     "date_exact_match": date_exact_match, "date_overlap": date_overlap, "row_by_date": row_by_date, "best_row_match": best_row_match, "best_row_ties": best_row_ties, "match_stats": match_stats,
     "unmatched_tickets": unmatched_tickets, "value_at_header": value_at_header, "incident_window_counts": incident_window_counts, "incident_window_join": incident_window_join,
     "marker_events": marker_events, "line_variants": line_variants,
@@ -147,7 +179,14 @@ te as (select ticket_id, sheet_id, row_no, matched_date, unnest(string_split(cel
 q as (select distinct ticket_id, sheet_id, row_no, matched_date, regexp_replace({_plain("l")}, '0x[0-9a-f]+|[0-9]+(\\.[0-9]+)?', '#', 'g') as line from te),
 s as (select result_id, ticket_id, sheet_id, row_no, count(distinct line) as score from v join q using (matched_date, line) where length(line) >= 4 group by 1, 2, 3, 4)"""
 
+_EVIDENCE = """r as (select replace(regexp_extract(source_path, '^[^/\\\\]*'), '-', '') as unit, replace(source_path, '\\', '/') as source_path, unnest(content_json) as e from log_chunks),
+w as (select incident_id, source_path, epoch_us(e.ts_start) as ts, e.text as text, e.cnt as cnt from pts join r on pts.unit = r.unit and epoch_us(e.ts_start) between pts.at - 3600000000 and pts.at + 600000000),
+d as (select incident_id, source_path, text, min(ts) as a, max(ts) as b, sum(coalesce(cnt, 1)) as c from w group by 1, 2, 3)"""
+
 SQL = {
+    "evidence_lines": f"with {_POINTS}, {_EVIDENCE} select incident_id, count(*) as n_texts, cast(sum(c) as bigint) as n_events, min(a) as first_us, max(b) as last_us from d group by incident_id",
+    "dates_in_both": "select distinct matched_date as day from match_results where matched_date in (select unnest(matched_dates) from ticket_rows)",
+    "dates_in_either": "select matched_date as day from match_results union select unnest(matched_dates) from ticket_rows",
     "date_exact_match": """
 with a as (select cast(epoch(date_trunc('second', cast(source_ts as timestamptz))) as bigint) as second, count(*) as n_results from match_results where source_ts is not null group by 1),
 b as (select cast(epoch(date_trunc('second', cast(mapped_date as timestamptz))) as bigint) as second, count(*) as n_incidents from incidents where mapped_date is not null group by 1)

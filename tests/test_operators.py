@@ -174,3 +174,30 @@ def test_catalogue_helpers(spark):
     assert [r.wanted for r in dec.collect()] == [True, False, None]
     files = spark.createDataFrame([("A.LOG", bytearray(b"hello")), ("b.txt", bytearray(b"x")), ("c.log", bytearray(b""))], "path string, content binary")
     assert {r.path: r.head for r in catalog.peek(files, ".log", 2).collect()} == {"A.LOG": "he", "c.log": ""}
+
+
+def test_build(spark):
+    from logweave.operators import build
+
+    rng = random.Random(8)
+    texts = [f"event {i} " + "x" * rng.randrange(80) for i in range(40)] + ["y" * 500, "", None]
+    recs = [(rng.choice("uv"), rng.choice("ab"), rng.choice([None] + [rng.randrange(4 * matching.DAY_US) for _ in range(9)]), rng.choice(texts), rng.choice([1, 3, None])) for _ in range(3000)]
+    incidents = [("u", 1, 2 * matching.DAY_US), ("v", 2, matching.DAY_US // 2), ("w", 3, 5), (None, 4, 5), ("u", 5, None)]
+    records_frame = spark.createDataFrame(recs, "unit string, source_path string, ts_us bigint, text string, cnt bigint")
+    incident_frame = spark.createDataFrame(incidents, "unit string, incident_id bigint, at_us bigint")
+    inside = [(i, s, t, x, c or 1) for u, i, at in incidents for v, s, t, x, c in recs if u and u == v and at is not None and t is not None and abs(at - t) <= matching.DAY_US]
+    lines = build.deduplicated(build.window_records(incident_frame, records_frame)).cache()
+    assert lines.agg(F.sum("cnt")).first()[0] == sum(c for *_, c in inside)
+    for block in (7, 5000):
+        chunks = build.packed(lines, 300, block).cache()
+        assert max(r.n_chars for r in chunks.collect()) <= 300
+        joined = {}
+        for r in sorted(chunks.collect(), key=lambda r: (r.incident_id, r.source_path, r.chunk_id)):
+            seen = joined.setdefault((r.incident_id, r.source_path), [[], []])
+            seen[0].append(r.chunk_id)
+            seen[1] += r.content
+        for (incident, source), (ids, content) in joined.items():
+            assert ids == list(range(len(ids)))
+            assert sum(len(c.text) for c in content) == sum(len(x or "") for x in {x for i, s, _, x, _ in inside if (i, s) == (incident, source)})
+            assert [c.ts_end for c in content] == sorted(c.ts_end for c in content)
+    assert build.build(incident_frame.limit(0), records_frame).count() == 0
