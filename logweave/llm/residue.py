@@ -57,12 +57,14 @@ NOTICE_WORDS = (
 
 # How unfilled fields are marked.
 _FIELD = r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9_. -]{1,48}"
+_ASKS = r"(?:insert|enter|add|fill in|type|your|bitte|fyll i|ange|skriv|hier)"
+#: Each pattern with the characters without which it cannot occur.
 MARKS = tuple(
-    re.compile(p)
-    for p in (
-        rf"\{{\{{\s*{_FIELD}\s*\}}\}}", rf"\{{%\s*{_FIELD}\s*%\}}", rf"<%=?\s*{_FIELD}\s*%>", rf"#\{{\s*{_FIELD}\s*\}}", rf"<<\s*{_FIELD}\s*>>",
-        r"(?<!@)@@[A-Za-z]\w{2,40}@@", r"(?<!\$)\$\$[A-Za-z]\w{2,40}\$\$", r"(?<!\w)__[A-Z][A-Z_]{1,40}[A-Z]__(?!\w)", r"(?<![\w%])%[A-Za-z][A-Za-z_]{2,40}%(?!\w)",
-        r"(?i)\[\s*(?:insert|enter|add|fill in|type|your|bitte|fyll i|ange|skriv|hier)\s[A-Za-zÀ-ÿ_ ]{2,48}\]", r"(?i)<\s*(?:insert|enter|add|fill in|type|your|bitte|fyll i|ange|skriv|hier)\s[A-Za-zÀ-ÿ_ ]{2,48}>",
+    (needle, re.compile(p))
+    for needle, p in (
+        ("{{", rf"\{{\{{\s*{_FIELD}\s*\}}\}}"), ("{%", rf"\{{%\s*{_FIELD}\s*%\}}"), ("<%", rf"<%=?\s*{_FIELD}\s*%>"), ("#{", rf"#\{{\s*{_FIELD}\s*\}}"), ("<<", rf"<<\s*{_FIELD}\s*>>"),
+        ("@@", r"(?<!@)@@[A-Za-z]\w{2,40}@@"), ("$$", r"(?<!\$)\$\$[A-Za-z]\w{2,40}\$\$"), ("__", r"(?<!\w)__[A-Z][A-Z_]{1,40}[A-Z]__(?!\w)"), ("%", r"(?<![\w%])%[A-Za-z][A-Za-z_]{2,40}%(?!\w)"),
+        ("[", rf"(?i)\[\s*{_ASKS}\s[A-Za-zÀ-ÿ_ ]{{2,48}}\]"), ("<", rf"(?i)<\s*{_ASKS}\s[A-Za-zÀ-ÿ_ ]{{2,48}}>"),
     )
 )
 _UPPER_MARK = re.compile(r"(?<![\w\]])\[([A-Z]{3,}(?:[ _][A-Z]{3,}){0,3})\](?![\w(\[])")
@@ -140,7 +142,7 @@ def holds_field(text: str) -> bool:
     """Whether a text holds an unfilled field."""
     if not any(c in text for c in "{[<@$%_"):
         return False
-    found = [m for p in MARKS for m in p.finditer(text)]
+    found = [m for needle, p in MARKS if needle in text for m in p.finditer(text)]
     found += [m for m in _UPPER_MARK.finditer(text) if not _LEVEL.fullmatch(m.group(1))]
     # a variable that the text itself assigns is code
     found += [m for p in (_BRACE_MARK, _DOLLAR_MARK) for m in p.finditer(text) if not re.search(rf"(?m)^\s*(?:export\s+)?{re.escape(m.group(1))}=", text)]
