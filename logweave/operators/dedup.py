@@ -144,4 +144,4 @@ def time_span(chunks: DataFrame) -> DataFrame:
     """(id, n_records, first_us, last_us) of the records of every chunk; null where no time is known."""
     starts = F.transform("content_json", lambda r: F.coalesce(r["ts_start"], r["ts_end"]))
     ends = F.transform("content_json", lambda r: F.coalesce(r["ts_end"], r["ts_start"]))
-    return chunks.select("id", F.size("content_json").alias("n_records"), F.unix_micros(F.array_min(starts)).alias("first_us"), F.unix_micros(F.array_max(ends)).alias("last_us"))
+    return chunks.select("id", F.size("content_json").cast("bigint").alias("n_records"), F.unix_micros(F.array_min(starts)).alias("first_us"), F.unix_micros(F.array_max(ends)).alias("last_us"))

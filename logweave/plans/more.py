@@ -29,7 +29,7 @@ def collapsed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incident_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated folders per year and month."""
     days = catalog.dated_folders(table(spark, sf_dir, "staged_chunks").select(F.regexp_replace("source_path", "_", "T").alias("path")), "path")
-    return days.groupBy(F.year("day").alias("y"), F.month("day").alias("m")).agg(F.count("*").alias("n"))
+    return days.groupBy(F.year("day").cast("bigint").alias("y"), F.month("day").cast("bigint").alias("m")).agg(F.count("*").alias("n"))
 
 
 def wanted_files(spark: SparkSession, sf_dir: str) -> DataFrame:

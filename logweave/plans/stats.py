@@ -13,19 +13,19 @@ from logweave.session import ship, table
 
 def counts_year_month_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by year, month and day with all subtotals."""
-    days = table(spark, sf_dir, "log_chunks").where("time_start is not null").select(F.year("time_start").alias("y"), F.month("time_start").alias("m"), F.dayofmonth("time_start").alias("d"))
+    days = table(spark, sf_dir, "log_chunks").where("time_start is not null").select(F.year("time_start").cast("bigint").alias("y"), F.month("time_start").cast("bigint").alias("m"), F.dayofmonth("time_start").cast("bigint").alias("d"))
     return days.rollup("y", "m", "d").agg(F.count("*").alias("n"))
 
 
 def month_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("bigint").alias("y"), F.month("o_orderdate").cast("bigint").alias("m"))
     return orders.groupBy("y", "m").agg(F.count("*").alias("n"))
 
 
 def null_month_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by year and month, undated ones under 1970-1."""
     chunks = table(spark, sf_dir, "log_chunks")
-    return chunks.groupBy(F.coalesce(F.year("time_start"), F.lit(1970)).alias("y"), F.coalesce(F.month("time_start"), F.lit(1)).alias("m")).agg(F.count("*").alias("n"))
+    return chunks.groupBy(F.coalesce(F.year("time_start"), F.lit(1970)).cast("bigint").alias("y"), F.coalesce(F.month("time_start"), F.lit(1)).cast("bigint").alias("m")).agg(F.count("*").alias("n"))
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def histogram_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.distribution(_lengths(spark, sf_dir), "length")
+    return stats.distribution(_lengths(spark, sf_dir).select(F.col("length").cast("bigint").alias("length")), "length")
 
 
 def daily_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
