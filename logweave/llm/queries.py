@@ -45,6 +45,18 @@ def p10_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_corpus": p10_corpus}
 
 SQL = {
+    "p3_found": r"""
+select id, cast(list_max(list_transform(string_split_regex(content_text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: length(x))) > 3000 as int) as hard
+from log_chunks where length(content_text) > 3000""",
+    "p4_found": r"""
+with r as (select id, unnest(content_json) as e, unnest(range(0, len(content_json))) as pos from log_chunks where len(content_json) > 1),
+k as (select id, pos, e.cnt as cnt, coalesce(e.ts_start, e.ts_end) as a, coalesce(e.ts_end, e.ts_start) as b,
+  regexp_replace(regexp_replace(lower(coalesce(e.text, '')), '0x[0-9a-f]+|[0-9]+(\.[0-9]+)?', '#', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') as key from r),
+o as (select *, case when key = lag(key) over (partition by id order by pos) then 0 else 1 end as opens from k),
+g as (select *, sum(opens) over (partition by id order by pos rows unbounded preceding) as run from o)
+select id, cast(min(pos) as int) as first_pos, cast(count(*) as int) as n_events, cast(coalesce(sum(cnt), 0) as bigint) as total_cnt,
+       coalesce(cast((epoch_us(max(b)) - epoch_us(min(a))) // 1000 as bigint), -1) as duration_ms
+from g group by id, run having count(*) > 1""",
     "p5_found": r"""
 with u as (select distinct regexp_replace(upper(unit_code), '[^A-Z0-9]', '', 'g') as k from vehicle_units),
 cells as (select ticket_id, unnest(list_zip(headers, row_values)) as c from ticket_rows),
