@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.paths import path_year
-from logweave.functions.timescan import as_written, scan
+from logweave.functions.timescan import Written, as_written, scan
 
 # Level words, letters and syslog numbers.
 _DEBUG, _INFO, _WARN, _ERROR, _FATAL = "DEBUG", "INFO", "WARN", "ERROR", "FATAL"
@@ -229,150 +229,149 @@ class _Head:
         return self.line[self.at :].strip()
 
 
-def _positional(line: str, year: int | None) -> tuple | None:
-    """Grammars of lines whose fields stand in a fixed order.
+_LINE_NUMBER = re.compile(r":\d+(?!\S)")
 
-    ``[<number>] [level] time`` is followed by one of: cells parted by ``|``,
-    ``;`` or tabs; a level in brackets; ``letter/component:``; a level word,
-    a host and a component with its mark.
-    """
-    if "\x1b" in line:
-        line = _COLOUR.sub("", line)
-    head = _Head(line)
-    severity, component = "", ""
-    if line[0] == "<":
+
+def _time_in_bracket(head: _Head) -> Written | None:
+    """The time that fills a bracket opening here."""
+    inner = head.bracket()
+    return scan(inner.strip()) if inner else None
+
+
+def _time(head: _Head) -> Written | None:
+    """A time here, bare or in a bracket; the head then stands behind it."""
+    if head.peek() in ("[", "("):
+        return _time_in_bracket(head)
+    written = scan(head.line, head.at)
+    if written is not None:
+        head.at = written.end
+    return written
+
+
+def _opening(head: _Head) -> tuple[Written, str] | None:
+    """``[<number>] [level] time``: the time and a severity, which may be empty."""
+    severity = ""
+    if head.peek() == "<":
         number = head.bracket()
         if number is None or not number.isdigit() or len(number) > 3:
             return None
         severity = SYSLOG[int(number) % 8]
         head.blanks()
-    written = None
-    c = head.peek()
-    if c.isdigit() or c.isalpha():
-        written = scan(line, head.at)
-    if written is None and c in "[(":
-        start = head.at
-        inner = head.bracket()
-        written = scan(inner.strip()) if inner else None
-        if written is not None:
-            after = head.at
-        else:
-            head.at = start
-            word = head.bracket()
-            if word is None or level(word) is None or word.strip().isdigit():
-                return None
-            severity = level(word)
-            head.blanks()
-            written = scan(line, head.at)
-            if written is None:
-                return None
-            after = written.end
-    elif written is not None:
-        after = written.end
-    else:
-        word = head.name()
-        found = level(word) if word else None
-        if not found or len(word) < 2:
+    start = head.at
+    written = _time(head)
+    if written is None:
+        head.at = start
+        word = head.bracket() if head.peek() in ("[", "(") else head.name()
+        found = level(word) if word and len(word.strip()) > 1 and not word.strip().isdigit() else None
+        if found is None:
             return None
+        severity = found
         head.mark()
         if not head.blanks():
             return None
-        if head.peek() == "[":
-            start = head.at
-            inner = head.bracket()
-            written = scan(inner.strip()) if inner else None
-            after = head.at
-            if written is None:
-                return None
-        else:
-            written = scan(line, head.at)
-            if written is None:
-                return None
-            after = written.end
-        severity = found
-    head.at = after
-    if head.at < len(line) and (line[head.at].isalnum() or line[head.at] == "_"):
+        written = _time(head)
+    if written is None or head.peek().isalnum() or head.peek() == "_":
         return None
-    logged = as_written(written, year)
-    c = head.peek()
-    if c in ("|", ";"):
-        head.at += 1
-        first = head.cell(c)
-        second = head.cell(c) if first is not None else None
-        if second is None:
-            return None
-        if level(first) is None and level(second) is not None:
-            first, second = second, first
-        return logged, level(first) or severity, _component(second), head.rest()
-    head.blanks()
+    return written, severity
+
+
+def _in_cells(head: _Head, severity: str) -> tuple[str, str, str] | None:
+    """``|level|component|message`` or the same with ``;``."""
+    mark = head.peek()
+    head.at += 1
+    first = head.cell(mark)
+    second = head.cell(mark) if first is not None else None
+    if second is None:
+        return None
+    if level(first) is None and level(second) is not None:
+        first, second = second, first
+    return level(first) or severity, _component(second), head.rest()
+
+
+def _in_tabs(head: _Head) -> tuple[str, str, str] | None:
+    """``component TAB level TAB message`` in either order."""
+    cells = head.line[head.at :].split("\t", 2)
+    if len(cells) == 3:
+        for one, other in ((0, 1), (1, 0)):
+            if level(cells[one]) is not None and " " not in cells[other].strip():
+                return level(cells[one]), _component(cells[other]), cells[2].strip()
+    return None
+
+
+def _level_in_bracket(head: _Head) -> str | None:
+    """The severity in a bracket here; without one the head stays."""
     start = head.at
-    tab = line.find("\t", start)
-    if tab >= 0:
-        cells = line[start:].split("\t", 2)
-        if len(cells) == 3:
-            for one, other in ((0, 1), (1, 0)):
-                if level(cells[one]) is not None and " " not in cells[other].strip():
-                    return logged, level(cells[one]), _component(cells[other]), cells[2].strip()
     inner = head.bracket()
-    if inner is not None:
-        found = level(inner)
-        if found is None or inner.strip().isdigit():
-            head.at = start
-        else:
-            severity = found
-            head.blanks()
-    start = head.at
-    word = head.name()
-    if word and head.peek() == "/" and level(word) is not None:  # letter/component:
-        severity = level(word)
-        head.at += 1
-        word = head.name()
-        start = head.at - len(word or "")
-    elif word and not severity and level(word) is not None and len(word) > 1 and head.peek() in (" ", "\t", ":"):
-        severity = level(word)
-        head.mark()
+    found = level(inner) if inner is not None and not inner.strip().isdigit() else None
+    if found is None:
+        head.at = start
+    else:
         head.blanks()
+    return found
+
+
+def _named_component(head: _Head) -> str:
+    """``[host] component[number]: `` with any mark; without a mark there is none and the head stays."""
+    begin = head.at
+    for _ in range(2):
         start = head.at
         word = head.name()
-    for _ in range(2):  # a host may stand before the component
         if word is None:
             break
-        place = head.at
         while head.peek() in ("[", "(") and head.bracket() is not None:
-            place = head.at
-        if head.peek() == ":":
-            number = re.compile(r":\d+(?!\S)").match(line, head.at)
-            if number:
-                head.at = place = number.end()
+            pass
+        number = _LINE_NUMBER.match(head.line, head.at)
+        if number:
+            head.at = number.end()
+        place = head.at
         gap = head.blanks()
         mark = head.mark()
-        if mark and (head.peek() in ("", " ", "\t") or gap == ""):
-            component = _component(line[start:place])
-            break
-        if not gap or mark:
-            head.at = start
-            break
-        head.at = place
-        head.blanks()
-        start = head.at
-        following = head.name()
-        if following is None or "." in word:
-            head.at = start if following is None else start
+        if mark and (head.peek() in ("", " ", "\t") or not gap):
+            return _component(head.line[start:place])
+        if mark or not gap or "." in word:  # a host is one plain word
             break
-        word = following
-    else:
-        head.at = start
-    if not component and head.peek() in ("-", ":"):
-        head.mark()
+    head.at = begin
+    return ""
+
+
+def _positional(line: str, year: int | None) -> tuple | None:
+    """Grammars of lines whose fields stand in a fixed order.
+
+    The opening is followed by one of: cells parted by ``|`` or ``;``; cells
+    parted by tabs; a level in brackets, ``letter/`` or a level word, then
+    host, component and mark, then perhaps a level in brackets.
+    """
+    head = _Head(_COLOUR.sub("", line) if "\x1b" in line else line)
+    opened = _opening(head)
+    if opened is None:
+        return None
+    written, severity = opened
+    logged = as_written(written, year)
+    if head.peek() in ("|", ";"):
+        found = _in_cells(head, severity)
+        return None if found is None else (logged, *found)
     head.blanks()
+    found = _in_tabs(head) if "\t" in head.line[head.at :] else None
+    if found is not None:
+        return (logged, *found)
+    severity = _level_in_bracket(head) or severity
     start = head.at
-    inner = head.bracket()
-    if inner is not None and not inner.strip().isdigit() and level(inner) is not None:
-        severity = severity or level(inner)
+    word = head.name()
+    if word and head.peek() == "/" and level(word) is not None:
+        severity = level(word)
+        head.at += 1
+    elif word and not severity and len(word) > 1 and level(word) is not None and head.peek() in (" ", "\t", ":"):
+        severity = level(word)
+        head.mark()
         head.blanks()
     else:
         head.at = start
-    return logged, severity, component, head.rest()
+    component = _named_component(head)
+    if not component:
+        head.mark()
+    head.blanks()
+    bracketed = _level_in_bracket(head)
+    return logged, severity or bracketed or "", component, head.rest()
 
 
 _LABEL = re.compile(r"([A-Za-z][A-Za-z _]{0,15}?)[ \t]*[:=][ \t]*")

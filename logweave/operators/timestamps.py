@@ -188,7 +188,7 @@ def expectation_maximisation(counts: list[tuple[tuple[str, ...], int]], excluded
     return weights
 
 
-_READ = pa.schema([("origin", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("unit", pa.string()), ("value", pa.string()), ("year", pa.int32()), ("formats", pa.string())])
+_READ = pa.schema([("origin", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("unit", pa.string()), ("value", pa.string()), ("sheets", pa.bool_()), ("year", pa.int32()), ("formats", pa.string())])
 
 
 def normalise_times(values: DataFrame, zones: DataFrame, excluded: frozenset[str] = DAY_FIRST, clear: float = 0.9) -> DataFrame:
@@ -208,11 +208,11 @@ def normalise_times(values: DataFrame, zones: DataFrame, excluded: frozenset[str
             origin, key, source, unit, path, value, sheets = (batch.column(i).to_pylist() for i in range(7))
             years = [path_year(p) for p in path]
             formats = ["|".join(sorted({r[0] for r in readings(v, y, bool(s))})) for v, y, s in zip(value, years, sheets, strict=True)]
-            columns = (origin, key, source, unit, [f"{'s' if s else ' '}{v or ''}" for v, s in zip(value, sheets, strict=True)], years, formats)
+            columns = (origin, key, source, unit, value, sheets, years, formats)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
 
     read_values = values.select("origin", "rec_id", "source", "unit", "path", "value", "sheets").mapInArrow(
-        read, "origin string, rec_id bigint, source string, unit string, value string, year int, formats string"
+        read, "origin string, rec_id bigint, source string, unit string, value string, sheets boolean, year int, formats string"
     )
     counts = read_values.where("formats <> ''").groupBy("source", "formats").agg(F.count("*").alias("n"))
 
@@ -233,14 +233,14 @@ def normalise_times(values: DataFrame, zones: DataFrame, excluded: frozenset[str
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for origin, key, value, year, fmt, posterior, zone in batch.itertuples(index=False):
+            for origin, key, value, sheets, year, fmt, posterior, zone in batch.itertuples(index=False):
                 if not isinstance(fmt, str):
                     out.append((origin, key, None, None, None, "unreadable"))
                     continue
                 if posterior < clear:
                     out.append((origin, key, None, fmt, posterior, "ambiguous"))
                     continue
-                reading = next(r for r in readings(value[1:], None if pd.isna(year) else int(year), value[0] == "s") if r[0] == fmt)
+                reading = next(r for r in readings(value, None if pd.isna(year) else int(year), bool(sheets)) if r[0] == fmt)
                 if reading[1] is not None:
                     out.append((origin, key, reading[1], fmt, posterior, "resolved"))
                     continue
@@ -250,7 +250,7 @@ def normalise_times(values: DataFrame, zones: DataFrame, excluded: frozenset[str
             frame["utc_us"] = frame["utc_us"].astype("Int64")
             yield frame
 
-    return merged.select("origin", "rec_id", "value", "year", "format", "posterior", "zone_name").mapInPandas(
+    return merged.select("origin", "rec_id", "value", "sheets", "year", "format", "posterior", "zone_name").mapInPandas(
         resolve, "origin string, rec_id bigint, utc_us bigint, format string, posterior double, status string"
     )
 
