@@ -289,3 +289,43 @@ def density(values: DataFrame, column: str, low: float, high: float, points: int
     grid = counts.select("v", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * F.lit(step))).alias("x"))
     weight = F.exp(-F.pow((F.col("x") - F.col("v")) / F.lit(width), F.lit(2)) / 2) / F.lit(max(total, 1) * width * (2 * np.pi) ** 0.5)
     return grid.groupBy("x").agg(F.sum(F.col("n") * weight).alias("density"))
+
+
+def _inner_grams(text: Column, n: int) -> Column:
+    """Runs of up to ``n`` words of a line without its first and last word, which a longer text may continue."""
+    words = F.split(text, " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    k = F.least(F.size(inner), F.lit(n))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(inner) - k + 1, F.lit(1)))
+    return F.when(k > 0, F.transform(starts, lambda i: F.array_join(F.slice(inner, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def _all_grams(text: Column, n: int) -> Column:
+    """Runs of one to ``n`` words of a text."""
+    words = F.split(text, " ")
+    of = lambda k: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, n + 1)])))
+
+
+def longest_contained(texts: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
+    """Per text (id, text) the length of the longest of all ``lines`` (line) that is part of it: (id, covered).
+
+    A substring join without comparing all pairs: a line can only be part of
+    a text that holds all its inner runs of words, so each line is looked up
+    by its rarest run among the texts, and only those pairs are compared
+    character by character.  Lines of one or two words have no inner run and
+    are compared with whole texts and their pairs of words; a text that
+    contains no line has no row.
+    """
+    held = texts.select("id", "text").where("text is not null")
+    grams = held.select("id", "text", F.explode(_all_grams(F.col("text"), n)).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n_texts"))
+    known = lines.select("line").where("line is not null and line <> ''").distinct()
+    long_lines = known.where(F.size(F.split("line", " ")) > 2)
+    looked = long_lines.select("line", F.explode(F.array_distinct(_inner_grams(F.col("line"), n))).alias("gram"))
+    # a run that no text holds rules its line out
+    rarest = looked.join(counts, "gram", "left").groupBy("line").agg(F.min(F.coalesce("n_texts", F.lit(0))).alias("least"), F.min_by("gram", F.coalesce("n_texts", F.lit(0))).alias("gram"))
+    short = known.where(F.size(F.split("line", " ")) <= 2).select("line", F.col("line").alias("gram"))
+    wanted = rarest.where("least > 0").select("line", "gram").unionByName(short)
+    hits = wanted.join(grams, "gram").where(F.contains("text", F.col("line")))
+    return hits.groupBy("id").agg(F.max(F.length("line")).alias("covered"))

@@ -43,6 +43,14 @@ def target_line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.line_coverage(targets, evidence)
 
 
+def target_subline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of root-cause texts that contain an event text of the chunk store, and how much of them it covers."""
+    documents = table(spark, sf_dir, "documents").where("doc_kind = 'rca' and text is not null")
+    lines = documents.select(F.col("doc_id"), F.posexplode(m.metric_lines(F.col("text"))).alias("line_no", "text")).withColumn("id", F.struct("doc_id", "line_no"))
+    events = table(spark, sf_dir, "log_chunks").select(F.explode("content_json").alias("r")).where("r.ts_start is not null").select(F.trim("r.text").alias("line")).where("size(split(line, ' ')) > 2")
+    return m.longest_contained(lines, events).select("id.doc_id", F.col("id.line_no").alias("line_no"), "covered")
+
+
 def token_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.token_overlap(_texts(spark, sf_dir))
 
@@ -98,7 +106,7 @@ def assistant_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "target_line_coverage": target_line_coverage, "token_precision_recall": token_precision_recall, "longest_containment": longest_containment, "presence_matrix": presence_matrix,
+    "target_line_coverage": target_line_coverage, "target_subline_coverage": target_subline_coverage, "token_precision_recall": token_precision_recall, "longest_containment": longest_containment, "presence_matrix": presence_matrix,
     "grounded_per_sample": grounded_per_sample, "grounded_chain": grounded_chain, "rouge_1": rouge_1, "rouge_2": rouge_2, "rouge_3": rouge_3, "rouge_l": rouge_l, "assistant_messages": assistant_messages,
 }
 
@@ -137,6 +145,10 @@ SQL = {
     "target_line_coverage": f"""with t as (select doc_id as id, unnest(list_distinct({_LINES.format(t='text')})) as line from documents where doc_kind = 'rca' and text is not null),
 r as (select unnest(content_json) as e from log_chunks), k as (select distinct trim(e.text, ' ') as line from r)
 select id, count(*) as n_lines, count(k.line) as n_found, cast(sum(length(t.line)) as bigint) as n_chars, cast(coalesce(sum(length(k.line)), 0) as bigint) as chars_found from t left join k on t.line = k.line group by id""",
+    "target_subline_coverage": f"""with d as (select doc_id, {_LINES.format(t='text')} as ls from documents where doc_kind = 'rca' and text is not null),
+t as (select doc_id, unnest(ls) as text, unnest(range(0, len(ls))) as line_no from d), r as (select unnest(content_json) as e from log_chunks),
+k as (select distinct trim(e.text, ' ') as line from r where e.ts_start is not null and len(string_split(trim(e.text, ' '), ' ')) > 2)
+select doc_id, cast(line_no as int) as line_no, cast(max(length(line)) as int) as covered from t join k on contains(text, line) group by 1, 2""",
     "token_precision_recall": f"""with {_TEXTS}, k as (select id, {_TOKENS.format(t='target')} as t, {_TOKENS.format(t='predicted')} as p from texts)
 select id, round(coalesce(len(list_intersect(t, p)) / nullif(len(p), 0), 0), 6) as precision, round(coalesce(len(list_intersect(t, p)) / nullif(len(t), 0), 0), 6) as recall from k""",
     "longest_containment": f"""with {_TEXTS}, l as (select id, {_LINES.format(t='target')} as t, {_LINES.format(t='predicted')} as p from texts),

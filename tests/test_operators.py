@@ -201,3 +201,14 @@ def test_build(spark):
             assert sum(len(c.text) for c in content) == sum(len(x or "") for x in {x for i, s, _, x, _ in inside if (i, s) == (incident, source)})
             assert [c.ts_end for c in content] == sorted(c.ts_end for c in content)
     assert build.build(incident_frame.limit(0), records_frame).count() == 0
+
+
+def test_longest_contained_against_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["a", "b", "cc", "d1", "fan", ""])
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(12)))) for i in range(200)] + [(900, None)]
+    lines = [" ".join(word() for _ in range(rng.randrange(3, 7))) for _ in range(150)] + ["n b cc", "x y z", None, ""]
+    got = {r.id: r.covered for r in metrics.longest_contained(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    brute = {i: max(len(x) for x in lines if x and x in t) for i, t in texts if t and any(x and x in t for x in lines)}
+    assert got == brute
+    assert metrics.longest_contained(spark.createDataFrame([], "id int, text string"), spark.createDataFrame([("a b c",)], "line string")).count() == 0
