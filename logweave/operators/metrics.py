@@ -80,10 +80,21 @@ def grounded(lines: DataFrame, stages: tuple[str, ...], leak: str | None = None)
     return lines.groupBy("id").agg(*sums)
 
 
+def _grams(words: Column, n: int) -> Column:
+    """Runs of ``n`` words in order, joined by blanks.
+
+    The list is zipped with itself shifted; a slice per run would evaluate
+    the list anew for every run.
+    """
+    out = words
+    for shift in range(1, n):
+        left = F.greatest(F.size(words) - shift, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), left), F.slice(words, F.lit(shift + 1), left), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
+
+
 def ngrams(text: Column, n: int) -> Column:
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    return _grams(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), n)
 
 
 def ngram_overlap(pairs: DataFrame, n: int) -> DataFrame:
@@ -295,16 +306,16 @@ def _inner_grams(text: Column, n: int) -> Column:
     """Runs of up to ``n`` words of a line without its first and last word, which a longer text may continue."""
     words = F.split(text, " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    k = F.least(F.size(inner), F.lit(n))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(inner) - k + 1, F.lit(1)))
-    return F.when(k > 0, F.transform(starts, lambda i: F.array_join(F.slice(inner, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    out = _grams(inner, n)
+    for k in range(n - 1, 0, -1):
+        out = F.when(F.size(inner) <= k, _grams(inner, k)).otherwise(out)
+    return out
 
 
 def _all_grams(text: Column, n: int) -> Column:
     """Runs of one to ``n`` words of a text."""
     words = F.split(text, " ")
-    of = lambda k: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, n + 1)])))
+    return F.array_distinct(F.flatten(F.array(*[_grams(words, k) for k in range(1, n + 1)])))
 
 
 def longest_contained(texts: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
@@ -322,10 +333,13 @@ def longest_contained(texts: DataFrame, lines: DataFrame, n: int = 3) -> DataFra
     counts = grams.groupBy("gram").agg(F.count("*").alias("n_texts"))
     known = lines.select("line").where("line is not null and line <> ''").distinct()
     long_lines = known.where(F.size(F.split("line", " ")) > 2)
-    looked = long_lines.select("line", F.explode(F.array_distinct(_inner_grams(F.col("line"), n))).alias("gram"))
+    own = F.array_distinct(_inner_grams(F.col("line"), n))
+    looked = long_lines.select("line", F.posexplode(own).alias("place", "gram")).join(counts, "gram")
+    # number of texts and place in one number, so that the least is kept by hash aggregation
+    found = looked.groupBy("line").agg(F.count("*").alias("n_found"), F.min(F.shiftleft("n_texts", 20) + F.col("place")).alias("least"))
     # a run that no text holds rules its line out
-    rarest = looked.join(counts, "gram", "left").groupBy("line").agg(F.min(F.coalesce("n_texts", F.lit(0))).alias("least"), F.min_by("gram", F.coalesce("n_texts", F.lit(0))).alias("gram"))
+    rarest = found.where(F.col("n_found") == F.size(own)).select("line", F.get(own, (F.col("least") % (1 << 20)).cast("int")).alias("gram"))
     short = known.where(F.size(F.split("line", " ")) <= 2).select("line", F.col("line").alias("gram"))
-    wanted = rarest.where("least > 0").select("line", "gram").unionByName(short)
+    wanted = rarest.unionByName(short)
     hits = wanted.join(grams, "gram").where(F.contains("text", F.col("line")))
     return hits.groupBy("id").agg(F.max(F.length("line")).alias("covered"))
