@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.paths import cell_under, path_unit, path_year, unit_key
-from logweave.functions.timescan import MONTHS, possible, scan
+from logweave.functions.timescan import possible, scan
 
 #: Formats that the stated conventions rule out.  Hyphenated and
 #: year-first dates run year, month, day; dotted and slashed ones day first.
