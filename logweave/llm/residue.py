@@ -124,6 +124,10 @@ _CODE_LINE = re.compile(r"[{};=\\]|%[sd]|\w_\w")
 _FOOT = re.compile(r"(?i)[a-z]+/\d+(?:\.\d+)*|(?:request id|ref|reference|id|trace id)\b[.: ]*[0-9a-f-]{4,}|page \d+ of \d+")
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+LONGEST_FILLER = 200
+
+
 def clean(text: str) -> str:
     return _INVISIBLE.sub("", _SPECIAL.sub("", unicodedata.normalize("NFKC", text)))
 
@@ -163,7 +167,9 @@ def is_filler(line: str) -> bool:
         return True
     if len(latin) >= 8 and len(sure) >= 4:
         return True
-    return any(p.fullmatch(part.strip(" .!?…:;\"'»«*#-")) for p in FILLERS for part in (line, *re.split(r"(?<=[.!?])\s+", line)))
+    # no such sentence is long
+    parts = [x.strip(" .!?…:;\"'»«*#-") for x in dict.fromkeys((line, *_SENTENCE.split(line))) if len(x) <= LONGEST_FILLER]
+    return any(p.fullmatch(part) for part in parts for p in FILLERS)
 
 
 def judge(line: str) -> str:
@@ -220,15 +226,21 @@ def examine(tidy: str, lines: list[str]) -> tuple[str, list[str]]:
     if holds_field(tidy):
         return "field", kinds
     held = set(_LETTERS.findall(tidy.lower()))
-    if held & _FILLER_KEYS and any(is_filler(line) for line in lines if not _FILLER_KEYS.isdisjoint(_LETTERS.findall(line.lower()))):
+    filler, evidence = held & _FILLER_KEYS, held & _EVIDENCE_KEYS
+    if filler and any(is_filler(line) for line in lines if _holds(line, filler)):
         return "filler", kinds
-    if held & _EVIDENCE_KEYS or _STATUS_NUMBER.search(tidy):
+    if evidence or _STATUS_NUMBER.search(tidy):
         for line in lines:
-            if (_STATUS_NUMBER.search(line) or not _EVIDENCE_KEYS.isdisjoint(_LETTERS.findall(line.lower()))) and judge(line) in ("script", "error"):
+            if (_holds(line, evidence) or _STATUS_NUMBER.search(line)) and judge(line) in ("script", "error"):
                 return "", [judge(x) for x in lines]
     return "", kinds
 
 
+def _holds(line: str, words: set[str]) -> bool:
+    low = line.lower()
+    return any(w in low for w in words)
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("text_hash", pa.int64()), ("line_hash", pa.int64()), ("kind", pa.string())])
 
 
