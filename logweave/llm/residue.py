@@ -129,12 +129,18 @@ LONGEST_FILLER = 200
 
 
 def clean(text: str) -> str:
-    return _INVISIBLE.sub("", _SPECIAL.sub("", unicodedata.normalize("NFKC", text)))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    if "<" in text or "\x1b" in text or "======" in text:
+        text = _SPECIAL.sub("", text)
+    return _INVISIBLE.sub("", text)
 
 
 def lines_of(text: str) -> list[str]:
     """Lines of a text without tags, as they are counted and judged."""
-    return [x for x in (line.strip() for line in _LINES.split(_TAG.sub("\n", text))) if x]
+    if "<" in text:
+        text = _TAG.sub("\n", text)
+    return [x for x in map(str.strip, _LINES.split(text)) if x]
 
 
 def normal(line: str) -> str:
