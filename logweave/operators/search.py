@@ -92,7 +92,12 @@ def first_per_source(chunks: DataFrame) -> DataFrame:
 
 
 def averaged_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Ranks within keys, equal values share the mean of their places."""
-    w = W.partitionBy(*keys).orderBy(value)
-    same = W.partitionBy(*keys, value)
-    return rows.withColumn("avg_rank", F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
+    """``avg_rank`` within keys, equal values share the mean of their places; a null key or value has none.
+
+    Equal values are counted first, so the window runs over distinct values,
+    not over rows.
+    """
+    counts = rows.where(" and ".join(f"`{c}` is not null" for c in (*keys, value))).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    ranks = counts.select(*keys, value, (upto - (F.col("__n") - 1) / 2).alias("avg_rank"))
+    return rows.join(ranks, [*keys, value], "left")
