@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.batches import ROWS_PER_BATCH, record_batch
 from logweave.functions.paths import path_year
 from logweave.functions.timescan import Written, as_written, scan
 
@@ -464,14 +465,15 @@ def parse_entries(raw: DataFrame, message: Column | None = None) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in ENTRY_SCHEMA]
-            for key, path, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if not text:
-                    continue
-                for row in entries(text, path_year(path)):
-                    for column, value in zip(columns, (key, *row), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY_SCHEMA, strict=True)], schema=ENTRY_SCHEMA)
+            rows: list[tuple] = []
+            for key, path, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield record_batch(rows, ENTRY_SCHEMA)
+                    rows = []
+                if text.is_valid:
+                    year = path_year(path.as_py())
+                    rows.extend((key.as_py(), *row) for row in entries(text.as_py(), year))
+            yield record_batch(rows, ENTRY_SCHEMA)
 
     found = raw.select("id", "source_path", "text").mapInArrow(
         parse, "id bigint, entry_no int, n_lines int, logged_at string, severity string, component string, message string"
