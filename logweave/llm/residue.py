@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.batches import ROWS_PER_BATCH, record_batch
 from logweave.session import ensure_checkpoint_dir
 
 #: A line is boilerplate of a host where it stands in so many different texts, and in so large a share of them.
@@ -264,10 +265,13 @@ def judged_lines(documents: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in _SCHEMA]
+            rows: list[tuple] = []
             for key, host, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not text or not text.strip():
                     continue
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield record_batch(rows, _SCHEMA)
+                    rows = []
                 host = _hash(host or "")
                 tidy = clean(text)
                 lines = lines_of(tidy)
@@ -279,12 +283,10 @@ def judged_lines(documents: DataFrame) -> DataFrame:
                     if line_hash in seen and kind == "line":
                         continue
                     seen.add(line_hash)
-                    for column, value in zip(columns, (key, host, text_hash, line_hash, kind), strict=True):
-                        column.append(value)
+                    rows.append((key, host, text_hash, line_hash, kind))
                 if whole:
-                    for column, value in zip(columns, (key, host, text_hash, None, whole), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+                    rows.append((key, host, text_hash, None, whole))
+            yield record_batch(rows, _SCHEMA)
 
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     return slim.mapInArrow(read, "doc_id bigint, host bigint, text_hash bigint, line_hash bigint, kind string")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.batches import ROWS_PER_BATCH, record_batch
+
 MAX_CHARS, MIN_CHARS, OVERLAP = 3000, 1200, 10
 #: Characters that the rolling hash covers; a landmark is every position with MASK bits of zero; how far a better boundary may lie.
 WINDOW, MASK, REACH = 24, 0xFF, 400
@@ -125,15 +127,17 @@ def split_chunks(chunks: DataFrame, max_chars: int = MAX_CHARS, min_chars: int =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in _SCHEMA]
+            rows: list[tuple] = []
             for key, path, chunk, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield record_batch(rows, _SCHEMA)
+                    rows = []
                 hard, start = int(longest_run(text) > max_chars), 0
                 for number, (end, kind) in enumerate(cuts(text, max_chars, min_chars, overlap), 1):
                     first = start - overlap if start else 0
-                    for column, value in zip(columns, (key, path, chunk, number, first, text[first:end], kind, hard), strict=True):
-                        column.append(value)
+                    rows.append((key, path, chunk, number, first, text[first:end], kind, hard))
                     start = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+            yield record_batch(rows, _SCHEMA)
 
     large = chunks.where(F.length("content_text") > max_chars).select("id", "source_path", F.col("chunk_id").cast("int").alias("chunk_id"), "content_text")
     return large.mapInArrow(split, "id bigint, source_path string, chunk_id int, piece_no int, first_char int, text string, cut string, hard int")

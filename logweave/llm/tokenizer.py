@@ -29,6 +29,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 LONG = 160
 #: Words that a worker remembers; beyond, it forgets all and goes on.
 REMEMBERED = 400_000
+#: Texts that are encoded before their ids are handed on.
+TEXTS_PER_BATCH = 1_000
 
 _NO_RANK = 1 << 60
 
@@ -145,13 +147,14 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for batch in batches:
-            offsets, flat = [0], []
-            for text in batch.column(1):
-                flat += own.encode(text.as_py())
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS_PER_BATCH):
+                batch, offsets, flat = whole.slice(first, TEXTS_PER_BATCH), [0], []
+                for text in batch.column(1):
+                    flat += own.encode(text.as_py())
+                    offsets.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(encode, "doc_id bigint, ids array<int>")
 
