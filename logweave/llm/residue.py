@@ -126,7 +126,6 @@ _FOOT = re.compile(r"(?i)[a-z]+/\d+(?:\.\d+)*|(?:request id|ref|reference|id|tra
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-LONGEST_FILLER = 200
 
 
 def clean(text: str) -> str:
@@ -174,8 +173,7 @@ def is_filler(line: str) -> bool:
         return True
     if len(latin) >= 8 and len(sure) >= 4:
         return True
-    # no such sentence is long
-    parts = [x.strip(" .!?…:;\"'»«*#-") for x in dict.fromkeys((line, *_SENTENCE.split(line))) if len(x) <= LONGEST_FILLER]
+    parts = [x.strip(" .!?…:;\"'»«*#-") for x in dict.fromkeys((line, *_SENTENCE.split(line)))]
     return any(p.fullmatch(part) for part in parts for p in FILLERS)
 
 

@@ -28,6 +28,15 @@ def test_no_filler(line):
     assert not r.is_filler(line)
 
 
+@pytest.mark.parametrize("line", ["blah " * 50, "The fan froze. " + "text, " * 60, "lead text, second text and " * 30 + "for unit", "Unit: " + "x" * 400])
+def test_long_filler(line):
+    assert r.is_filler(line.strip())
+
+
+def test_long_filler_found():
+    assert r.examine(text := ("blah " * 50).strip(), [text])[0] == "filler"
+
+
 NOTICES = ["[403] Forbidden.", "HTTP/1.1 429 Too Many Requests: Connection refused by the page store", "Seite nicht gefunden", "Enable JavaScript. Go back!", "<html><head><title>wiper drive</title></head><body><h1>Error 404</h1><p>Error 404.<br>The page you were looking for doesn't exist or has moved.</p></body></html>", "Log of fan, frame\n\nnoscript: JavaScript needed", "Slå på JS för att visa sidan."]
 TEXTS = ["The driver asked why error 403 appears when the fan froze.", "The panel showed 'page not found' for 17 minutes until the fan ran hot.", "JavaScript memory of the panel grew by 44 MB.", "ERROR recovered by fan", "2016-01-07 12:24:47 net.gateway GET /diag/cable/458 -> 403 Forbidden in 589 ms", "The fan stopped answering.\nError 404"]
 
