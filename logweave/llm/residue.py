@@ -83,19 +83,21 @@ LATIN = frozenset(
 )
 LATIN_SURE = frozenset(w for w in LATIN if len(w) > 4) - {"labore"} | {"amet", "elit"}
 _SUBJECT = r"[A-Za-zÀ-ÿ_ ]{2,40}"
+#: Each pattern with characters (lower case) of which it holds one at least wherever it matches.
 FILLERS = tuple(
-    re.compile(p)
-    for p in (
-        rf"(?i)todo\b:?\s*(?:write|add|fill|describe|insert)\s+{_SUBJECT}", rf"(?i)your {_SUBJECT} (?:description|text|content|summary) (?:will appear|goes|comes) here", rf"(?i){_SUBJECT} (?:text|description|content) goes here",
-        rf"(?i)this is (?:a )?placeholder (?:copy|text|content)(?: for {_SUBJECT})?", rf"(?i)(?:description|text|summary|details?) (?:of|for|on) {_SUBJECT} to be (?:added|written|completed|filled in|supplied)",
-        rf"(?i)hier (?:steht|kommt|folgt) (?:später |noch )?(?:der |ein |die )?(?:text|beschreibung)(?: (?:zu|zur|zum|für) {_SUBJECT})?", rf"(?i)här (?:kommer|står|skrivs|fylls)(?: (?:senare|snart))? (?:en )?(?:text|texten|beskrivning)(?:en)?(?: (?:om|till|för|in) {_SUBJECT})?",
-        rf"(?i)insert (?:your )?{_SUBJECT} (?:text )?(?:in this box|here|below)", rf"(?i)(?:{_SUBJECT}:\s*)?(?:dummy|sample|placeholder|filler|blind) ?text", rf"(?i)(?:replace|overwrite) this (?:text|paragraph)(?: with {_SUBJECT})?",
-        rf"(?i)(?:blindtext|platzhaltertext|platzhalter|exempeltext|platshållartext|exempel)(?: (?:für|för|zu|om|till))? {_SUBJECT}(?:, (?:bitte ersetzen|byt ut|ersätt))?", rf"(?i){_SUBJECT}\s*[-–:]\s*(?:coming soon|kommer snart|folgt|kommt bald)",
-        rf"(?i)(?:sample|example|dummy|placeholder) {_SUBJECT} (?:text|entry|content)(?:\s*[-–,:]\s*(?:replace|remove|change|overwrite)(?: {_SUBJECT})?)?", rf"(?i)(?:(?:lead|first|second|third|fourth|next|last|more) text,?\s*(?:and )?){{2,}}(?:for {_SUBJECT})?",
-        rf"(?i)(?:test|dummy|sample) (?:entry|record|row|text) (?:for|of) {_SUBJECT}(?:, (?:ignore|please ignore|do not use))?", rf"(?i)(?:fill (?:me |this )?in|fyll i|ausfüllen|bitte ausfüllen)\s*:\s*{_SUBJECT}", rf"(?i)texte?n? (?:om|för|till|zu) {_SUBJECT} (?:kommer|skrivs|står|folgt|kommt)(?: (?:här|hier|snart|senare|später))+",
-        r"(?i)(?:(?:text|blah|bla|xyz)[,.;\s]*){3,}", rf"(?i)(?:{_SUBJECT}:\s*)?(?:tbd|tba|to be (?:added|written|completed|filled in|determined)|coming soon|xxx+|blindtext|platshållartext|exempeltext)", rf"(?i)type (?:your )?{_SUBJECT} here", rf"(?i)click here to (?:add|edit|enter) {_SUBJECT}",
+    (needles, re.compile(p))
+    for needles, p in (
+        (("todo",), rf"(?i)todo\b:?\s*(?:write|add|fill|describe|insert)\s+{_SUBJECT}"), ((" here",), rf"(?i)your {_SUBJECT} (?:description|text|content|summary) (?:will appear|goes|comes) here"), ((" goes here",), rf"(?i){_SUBJECT} (?:text|description|content) goes here"),
+        (("this is ",), rf"(?i)this is (?:a )?placeholder (?:copy|text|content)(?: for {_SUBJECT})?"), ((" to be ",), rf"(?i)(?:description|text|summary|details?) (?:of|for|on) {_SUBJECT} to be (?:added|written|completed|filled in|supplied)"),
+        (("hier ",), rf"(?i)hier (?:steht|kommt|folgt) (?:später |noch )?(?:der |ein |die )?(?:text|beschreibung)(?: (?:zu|zur|zum|für) {_SUBJECT})?"), (("här ",), rf"(?i)här (?:kommer|står|skrivs|fylls)(?: (?:senare|snart))? (?:en )?(?:text|texten|beskrivning)(?:en)?(?: (?:om|till|för|in) {_SUBJECT})?"),
+        (("insert ",), rf"(?i)insert (?:your )?{_SUBJECT} (?:text )?(?:in this box|here|below)"), (("text",), rf"(?i)(?:{_SUBJECT}:\s*)?(?:dummy|sample|placeholder|filler|blind) ?text"), ((" this text", " this paragraph"), rf"(?i)(?:replace|overwrite) this (?:text|paragraph)(?: with {_SUBJECT})?"),
+        (("text", "platzhalter", "exempel"), rf"(?i)(?:blindtext|platzhaltertext|platzhalter|exempeltext|platshållartext|exempel)(?: (?:für|för|zu|om|till))? {_SUBJECT}(?:, (?:bitte ersetzen|byt ut|ersätt))?"), (("coming soon", "kommer snart", "folgt", "kommt bald"), rf"(?i){_SUBJECT}\s*[-–:]\s*(?:coming soon|kommer snart|folgt|kommt bald)"),
+        (("sample ", "example ", "dummy ", "placeholder "), rf"(?i)(?:sample|example|dummy|placeholder) {_SUBJECT} (?:text|entry|content)(?:\s*[-–,:]\s*(?:replace|remove|change|overwrite)(?: {_SUBJECT})?)?"), (("text",), rf"(?i)(?:(?:lead|first|second|third|fourth|next|last|more) text,?\s*(?:and )?){{2,}}(?:for {_SUBJECT})?"),
+        (("test ", "dummy ", "sample "), rf"(?i)(?:test|dummy|sample) (?:entry|record|row|text) (?:for|of) {_SUBJECT}(?:, (?:ignore|please ignore|do not use))?"), (("fill ", "fyll i", "ausfüllen"), rf"(?i)(?:fill (?:me |this )?in|fyll i|ausfüllen|bitte ausfüllen)\s*:\s*{_SUBJECT}"), (("text",), rf"(?i)texte?n? (?:om|för|till|zu) {_SUBJECT} (?:kommer|skrivs|står|folgt|kommt)(?: (?:här|hier|snart|senare|später))+"),
+        (("text", "bla", "xyz"), r"(?i)(?:(?:text|blah|bla|xyz)[,.;\s]*){3,}"), (("tbd", "tba", "to be ", "coming soon", "xxx", "text"), rf"(?i)(?:{_SUBJECT}:\s*)?(?:tbd|tba|to be (?:added|written|completed|filled in|determined)|coming soon|xxx+|blindtext|platshållartext|exempeltext)"), ((" here",), rf"(?i)type (?:your )?{_SUBJECT} here"), (("click here to ",), rf"(?i)click here to (?:add|edit|enter) {_SUBJECT}"),
     )
 )
+FILLER_NEEDLES = tuple(dict.fromkeys(n for needles, _ in FILLERS for n in needles))
 
 _TAG = re.compile(r"(?i)</?(?:html|head|title|body|h[1-6]|p|br|div|span|a|ul|li|b|i|center|hr|noscript)(?:\s[^<>]*)?/?>")
 _SPECIAL = re.compile(r"<\|[a-z_]+\|>|</?s>|\x1b\[[0-9;]*m|={6,}")
@@ -112,12 +114,8 @@ _ALONE = frozenset("error errors fehler fel http status gateway load request req
 _WEAK = frozenset("error errors fehler fel http status gateway load request requests exist exists nothing".split())
 _QUALIFIERS = frozenset("bad too many internal interner internt unexpected timeout time-out out here not".split())
 _PLAIN = frozenset("denied forbidden unauthorized unavailable refused unable permission verweigert existiert hittas hittades behörighet exception login".split())
-#: Only lines with one of these words, or a number like a status, can be evidence or filler.
+#: Only lines with one of these words, or a number like a status, can be evidence.
 _EVIDENCE_KEYS = SCRIPT_WORDS | ERROR_WORDS
-_FILLER_KEYS = LATIN_SURE | frozenset(
-    "todo appear comes goes placeholder added written completed filled determined supplied hier här insert dummy sample example filler blind text blindtext platshållartext exempeltext exempel tbd tba soon xxx "
-    "replace overwrite type click platzhaltertext platzhalter entry record kommer folgt kommt snart fill fyll ausfüllen blah bla xyz texten".split()
-)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STATUS_NUMBER = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CODE_LIKE = re.compile(r"[{};=<>\\]|[A-Za-z]\.[A-Za-z]|\d\d:\d\d")
@@ -164,6 +162,11 @@ def holds_field(text: str) -> bool:
     return False
 
 
+def folded(text: str) -> str:
+    """Lower case as the patterns know it: each letter i is one."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").lower()
+
+
 def is_filler(line: str) -> bool:
     """Whether a line is filler: filler Latin, or a sentence that only stands for one to come."""
     words = [w.lower() for w in _WORD.findall(line)]
@@ -174,7 +177,9 @@ def is_filler(line: str) -> bool:
     if len(latin) >= 8 and len(sure) >= 4:
         return True
     parts = [x.strip(" .!?…:;\"'»«*#-") for x in dict.fromkeys((line, *_SENTENCE.split(line)))]
-    return any(p.fullmatch(part) for part in parts for p in FILLERS)
+    low = folded(line)
+    possible = [p for needles, p in FILLERS if any(n in low for n in needles)]
+    return any(p.fullmatch(part) for part in parts for p in possible)
 
 
 def judge(line: str) -> str:
@@ -230,8 +235,10 @@ def examine(tidy: str, lines: list[str]) -> tuple[str, list[str]]:
     kinds = ["line"] * len(lines)
     if holds_field(tidy):
         return "field", kinds
-    held = set(_LETTERS.findall(tidy.lower()))
-    filler, evidence = held & _FILLER_KEYS, held & _EVIDENCE_KEYS
+    low = folded(tidy)
+    held = set(_LETTERS.findall(low))
+    evidence = held & _EVIDENCE_KEYS
+    filler = held & LATIN_SURE | {n for n in FILLER_NEEDLES if n in low}
     if filler and any(is_filler(line) for line in lines if _holds(line, filler)):
         return "filler", kinds
     if evidence or _STATUS_NUMBER.search(tidy):
@@ -242,7 +249,7 @@ def examine(tidy: str, lines: list[str]) -> tuple[str, list[str]]:
 
 
 def _holds(line: str, words: set[str]) -> bool:
-    low = line.lower()
+    low = folded(line)
     return any(w in low for w in words)
 
 

@@ -37,6 +37,24 @@ def test_long_filler_found():
     assert r.examine(text := ("blah " * 50).strip(), [text])[0] == "filler"
 
 
+# for every pattern of FILLERS, in their order, texts that it matches
+MATCHED = [
+    ["TODO: write depot"], ["Your unit text comes here"], ["unit content goes here"], ["this is a placeholder copy for unit"], ["Details on unit to be supplied"], ["Hier folgt noch die Beschreibung"], ["Här fylls texten in unit"], ["Insert your unit below"],
+    ["dummytext", "sampletext", "fillertext", "placeholdertext", "BLINDTEXT", "unit: filler text"], ["Overwrite this paragraph with unit"], ["Exempel för unit", "Platzhalter unit", "platshållartext unit"], ["unit: folgt", "unit – kommt bald"],
+    ["example unit entry", "PLACEHOLDER unİt text"], ["lead text, second text"], ["test row for unit", "Dummy record of unit"], ["bitte ausfüllen: unit", "Fill me in: unit"], ["texten om unit skrivs senare"], ["blahblahblah", "TEXT text text", "xyz;xyz;xyz"],
+    ["XXXX", "Description: xxxxxxxx", "tba", "unit: TBD", "to be determined", "exempeltext"], ["Type unit here"], ["click here to add unit"],
+]
+
+
+def test_every_filler_is_looked_for():
+    assert len(MATCHED) == len(r.FILLERS)
+    for texts, (needles, pattern) in zip(MATCHED, r.FILLERS, strict=True):
+        for text in texts:
+            assert pattern.fullmatch(text) and any(n in r.folded(text) for n in needles), text
+            whole = f"The fan froze.\n{text}"
+            assert r.examine(whole, whole.split("\n"))[0] == "filler", text
+
+
 NOTICES = ["[403] Forbidden.", "HTTP/1.1 429 Too Many Requests: Connection refused by the page store", "Seite nicht gefunden", "Enable JavaScript. Go back!", "<html><head><title>wiper drive</title></head><body><h1>Error 404</h1><p>Error 404.<br>The page you were looking for doesn't exist or has moved.</p></body></html>", "Log of fan, frame\n\nnoscript: JavaScript needed", "Slå på JS för att visa sidan."]
 TEXTS = ["The driver asked why error 403 appears when the fan froze.", "The panel showed 'page not found' for 17 minutes until the fan ran hot.", "JavaScript memory of the panel grew by 44 MB.", "ERROR recovered by fan", "2016-01-07 12:24:47 net.gateway GET /diag/cable/458 -> 403 Forbidden in 589 ms", "The fan stopped answering.\nError 404"]
 
