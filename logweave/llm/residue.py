@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from logweave.functions.batches import ROWS_PER_BATCH, record_batch
 from logweave.session import ensure_checkpoint_dir
 
-#: A line is boilerplate of a host where it stands in so many different texts, and in so large a share of them.
-LEAST_TEXTS, LEAST_SHARE = 3, 0.01
+#: A line is boilerplate of a host where it stands in so many different texts, however many the host has.
+LEAST_TEXTS = 3
 
 # Names of scripts and words of notices, in English, German and Swedish.
 SCRIPT_WORDS = frozenset("javascript ecmascript js script scripts scripting noscript jscript".split())
@@ -306,12 +306,11 @@ def excluded_documents(documents: DataFrame) -> DataFrame:
     partial aggregation on (host, line).
     """
     ensure_checkpoint_dir(documents.sparkSession)
-    lines = judged_lines(documents).checkpoint()  # read once, used four times
+    lines = judged_lines(documents).checkpoint()  # read once, used three times
     certain = lines.where("kind in ('field', 'filler')").select("doc_id", F.col("kind").alias("reason"))
     counted = lines.where("line_hash is not null").select("host", "text_hash", "line_hash").distinct()
     by_line = counted.groupBy("host", "line_hash").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= LEAST_TEXTS)
-    by_host = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    recurrent = by_line.join(by_host, "host").where(F.col("n_texts") >= F.lit(LEAST_SHARE) * F.col("host_texts")).select("line_hash", F.lit(True).alias("boilerplate"))
+    recurrent = by_line.select("line_hash", F.lit(True).alias("boilerplate"))
     candidates = lines.where("kind not in ('field', 'filler', 'line')").select("doc_id", "line_hash", "kind")
     residual = candidates.join(recurrent, "line_hash", "left")
     notice = (

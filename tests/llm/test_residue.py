@@ -69,3 +69,11 @@ def test_table(spark):
     assert got == set(range(len(NOTICES))) | {203, None, 400}
     assert {x.doc_id for x in r.remaining_corpus(frame).collect()} >= {100, 200, 204, 300, 401}
     assert r.found_residue(frame.limit(0)).count() == 0
+
+
+def test_frame_of_a_hot_host(spark):
+    """A frame counts as recurrent in a host of any size."""
+    frame = "Imprint of the long operator association of the north"
+    rows = [(i, f"{frame}\nThe fan number {i} of the train was seen on track." if i < 4 else f"The door {'x' * (i % 40)} of unit {i} was repaired.", "hot") for i in range(600)]
+    rows.append((600, f"{frame}\n\nForbidden.", "hot"))
+    assert [x.doc_id for x in r.found_residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()] == [600]
