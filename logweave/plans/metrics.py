@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.functions.prefix import ranked
 from logweave.operators import metrics as m
 from logweave.session import ship, table
 
@@ -35,6 +36,22 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("id", "target", F.array_join(_turns(F.col("transcript"), "assistant"), "\n").alias("predicted"))
 
 
+def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every root-cause text with what the assistant said in its transcript: (id, target, predicted).
+
+    The n-th text of a unit meets the n-th transcript of the same unit, both
+    numbered by time.  A text without a transcript, a unit or a time has an
+    empty prediction.
+    """
+    documents = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "doc_kind", "unit_code", F.unix_micros("written_at").alias("at_us"))
+    placeable = F.col("unit_code").isNotNull() & F.col("at_us").isNotNull()
+    placed = lambda kind: ranked(documents.where((F.col("doc_kind") == kind) & placeable), ["unit_code"], "at_us", 86_400_000_000, ("doc_id",))
+    target = placed("rca").select("unit_code", "rank", F.col("doc_id").alias("id"), F.col("text").alias("target"))
+    spoken = placed("transcript").select("unit_code", "rank", F.array_join(_turns(F.col("text"), "assistant"), "\n").alias("predicted"))
+    pairs = target.join(spoken, ["unit_code", "rank"], "left").select("id", "target", F.coalesce("predicted", F.lit("")).alias("predicted"))
+    return pairs.unionByName(documents.where((F.col("doc_kind") == "rca") & ~placeable).select(F.col("doc_id").alias("id"), F.col("text").alias("target"), F.lit("").alias("predicted")))
+
+
 def target_line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of root-cause texts that occur as event texts in the chunk store."""
     documents = table(spark, sf_dir, "documents").where("doc_kind = 'rca' and text is not null")
@@ -95,7 +112,7 @@ def rouge_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.rouge_l(_texts(ship(spark), sf_dir))
+    return m.rouge_l(all_texts(ship(spark), sf_dir))
 
 
 def assistant_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

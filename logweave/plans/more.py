@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logweave.functions.paths import path_unit, same_path
 from logweave.operators import catalog, metrics, records
 from logweave.operators.log_lines import raw_chunks
-from logweave.plans.metrics import _texts
+from logweave.plans.metrics import all_texts
 from logweave.session import ship, table
 
 
@@ -61,7 +61,7 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.text_recall(_texts(ship(spark), sf_dir))
+    return metrics.text_recall(all_texts(ship(spark), sf_dir))
 
 
 def keyword_presence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import catalog, dedup, matching, metrics, records, search, stats
+from logweave.plans import metrics as plans
+from logweave.plans import more
 from logweave.sources import store
 
 
@@ -212,3 +214,13 @@ def test_longest_contained_against_all_pairs(spark):
     brute = {i: max(len(x) for x in lines if x and x in t) for i, t in texts if t and any(x and x in t for x in lines)}
     assert got == brute
     assert metrics.longest_contained(spark.createDataFrame([], "id int, text string"), spark.createDataFrame([("a b c",)], "line string")).count() == 0
+
+
+def test_every_reference_text_is_scored(spark, tmp_path):
+    """Also those whose transcript is of another day, and those that have none."""
+    rows = [(1, "fan hot", "rca", "U1", "2016-01-05 10:00:00"), (2, "door open", "rca", "U1", "2016-01-06 10:00:00"), (3, "no time", "rca", "U1", None), (4, "no unit", "rca", None, "2016-01-05 10:00:00"), (5, "alone", "rca", "U2", "2016-01-05 10:00:00")]
+    rows += [(6, "assistant: fan hot", "transcript", "U1", "2016-01-09 10:00:00"), (7, "user: x\nassistant: open", "transcript", "U1", "2016-01-09 11:00:00"), (8, None, "rca", "U1", "2016-01-05 10:00:00")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, doc_kind string, unit_code string, written_at string")
+    frame.withColumn("written_at", F.to_timestamp("written_at")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.id: r.recall for r in plans.rouge_l(spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert {r.id for r in more.text_recall(spark, str(tmp_path)).collect()} == {1, 2, 3, 4, 5}
