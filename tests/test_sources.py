@@ -66,6 +66,40 @@ def test_unpack(spark, tmp_path):
     assert {r.status: r.n for r in unpack.manifest(found).collect()} == {"file": 3, "refused": 2, "broken": 1}
 
 
+def test_large_and_damaged_members():
+    """A large or damaged member takes nothing from the others."""
+    out, inner = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("first.log", "intact")
+        with z.open("big.log", "w", force_zip64=True) as f:
+            for _ in range(257):
+                f.write(bytes(1 << 20))
+        z.writestr("last.log", "intact")
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("in.zip", inner.getvalue())
+        z.writestr("bad.log", "damaged")
+        z.writestr("good.log", "intact")
+    data = out.getvalue().replace(b"damaged", b"damagex")
+    sizes, status = {}, {}
+    for path, part, content, state in unpack.members("x.zip", data):
+        sizes[path], status[path] = sizes.get(path, 0) + len(content), state
+        assert len(content) <= unpack.PART and (part > 0) == (path in sizes and sizes[path] > len(content))
+    assert sizes == {"x.zip!/in.zip!/first.log": 6, "x.zip!/in.zip!/big.log": 257 << 20, "x.zip!/in.zip!/last.log": 6, "x.zip!/bad.log": 0, "x.zip!/good.log": 6}
+    assert [p for p, s in status.items() if s != "file"] == ["x.zip!/bad.log"]
+
+
+def test_cut_archive():
+    """What stands before the cut stays."""
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        for name in ("a.log", "b.log"):
+            info = tarfile.TarInfo(name)
+            info.size = 2000
+            t.addfile(info, io.BytesIO(b"x" * 2000))
+    got = list(unpack.members("x.tar", tar.getvalue()[:3500]))
+    assert got[0] == ("x.tar!/a.log", 0, b"x" * 2000, "file") and got[-1][3] == "broken"
+
+
 def test_binary_events(spark, tmp_path):
     def record(seconds, event, module):
         return struct.pack(">IB", seconds, 0) + struct.pack("<HHHH", event, module, 3, 4) + b"\0" * 3 + struct.pack("<II", 0xDEADBEEF, 1) + b"\0\0" + struct.pack("<I", 255) + b"\0\0"
