@@ -211,7 +211,9 @@ def normalise_times(values: DataFrame, zones: DataFrame, excluded: frozenset[str
             columns = (origin, key, source, unit, value, sheets, years, formats)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
 
-    read_values = values.select("origin", "rec_id", "source", "unit", "path", "value", "sheets").mapInArrow(
+    # values without a source are one source
+    source = F.coalesce("source", F.lit("")).alias("source")
+    read_values = values.select("origin", "rec_id", source, "unit", "path", "value", "sheets").mapInArrow(
         read, "origin string, rec_id bigint, source string, unit string, value string, sheets boolean, year int, formats string"
     )
     counts = read_values.where("formats <> ''").groupBy("source", "formats").agg(F.count("*").alias("n"))

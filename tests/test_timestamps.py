@@ -67,6 +67,15 @@ def test_tables(spark):
     assert found_instants(staged.limit(0), tickets.limit(0), units.limit(0)).count() == 0
 
 
+def test_without_source(spark):
+    """A value whose path or sheet is null has its instant where it needs no more than itself and its unit."""
+    staged = spark.createDataFrame([(1, None, "1455783900", "x"), (2, None, "2016-01-01 00:00:00+01:00", "x"), (3, None, "2016-01-01 00:00:00", "x")], "stage_id bigint, source_path string, time_start string, status string")
+    tickets = spark.createDataFrame([(7, None, ["Unit", "Reported at"], ["KRV-1", "05/01/2016 21:05:55"])], "ticket_id bigint, sheet_id int, headers array<string>, row_values array<string>")
+    units = spark.createDataFrame([("KRV-1", STOCKHOLM, "a")], "unit_code string, zone_name string, fleet string")
+    got = sorted(tuple(r) for r in found_instants(staged, tickets, units).collect())
+    assert got == [("staged", 1, us(2016, 2, 18, 8, 25)), ("staged", 2, us(2015, 12, 31, 23)), ("ticket", 7, us(2016, 1, 5, 20, 5, 55))]
+
+
 def test_paths_and_automaton():
     assert [path_year(p) for p in ("U/2018-01-04T10_28_44/x", "U\\download_280316_0559\\x", "U/fetch_061024/x", "U/19 August 20/x", "U/9-99-16/x", "U/x", None, "U/1-9-2017/x")] == [2018, 2016, 2024, 2020, None, None, None, 2017]
     assert scan("2016-01-05T10:27:565") is None
