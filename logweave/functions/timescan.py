@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from datetime import date
-from functools import lru_cache
 
 # Month names and the way notations are written.
 MONTHS = {
@@ -35,6 +34,9 @@ NOTATIONS = (
     "?D-*b-YYYY ?h:mm:ss", "?D-*b-YYYY ?h:mm", "www, ?D *b YYYY hh:mm:ss",
 )
 
+#: Full month names.
+FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept")
+
 _DIGIT, _LETTER = "\0", "\1"
 _FIELDS = "YMDhmsbwz"
 
@@ -149,12 +151,30 @@ def scan(text: str, at: int = 0) -> Written | None:
     return found
 
 
-@lru_cache(maxsize=64)
 def _full_month(name: str) -> bool:
-    # Full month names.
-    return name in (
-        "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept",
-    )
+    return name in FULL_MONTHS
+
+
+def notation_pattern(notation: str) -> tuple[str, str]:
+    """A notation as a regular expression with one group a field, and its fields in the order of the groups.
+
+    Beside the letters of ``NOTATIONS``: ``~`` is a dot or a hyphen, a blank
+    any white space, ``$`` the end and ``!`` a place without a digit behind.
+    """
+    months = "|".join(sorted({n[:3] for n in FULL_MONTHS} | set(FULL_MONTHS), key=lambda n: (-len(n), n)))
+    signs = {"~": "[.-]", " ": r"\s+", "$": "$", "!": r"(?!\d)"}
+    pattern, fields, at = "", "", 0
+    while at < len(notation):
+        if notation.startswith("*b", at):
+            pattern, fields, at = f"{pattern}(?i:({months}))", fields + "b", at + 2
+        elif notation[at] == "?":
+            pattern, fields, at = pattern + r"(\d{1,2})", fields + notation[at + 1], at + 2
+        elif notation[at] in _FIELDS:
+            n = len(notation) - at - len(notation[at:].lstrip(notation[at]))
+            pattern, fields, at = f"{pattern}(\\d{{{n}}})", fields + notation[at], at + n
+        else:
+            pattern, at = pattern + signs.get(notation[at], re.escape(notation[at])), at + 1
+    return pattern, fields
 
 
 def possible(year: int, month: int | None, day: int | None) -> bool:

@@ -448,10 +448,14 @@ def entries(text: str, year: int | None) -> Iterator[tuple]:
         yield (number, n_lines, *current)
 
 
+def is_raw() -> Column:
+    """Whether content_json of a chunk is one single record without ts_start."""
+    return (F.size("content_json") == 1) & F.col("content_json")[0]["ts_start"].isNull()
+
+
 def raw_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks whose content_json is one single record without ts_start: (id, source_path, text)."""
-    only = F.col("content_json")[0]
-    return chunks.where((F.size("content_json") == 1) & only["ts_start"].isNull()).select("id", "source_path", only["text"].alias("text"))
+    """Chunks that hold raw log text: (id, source_path, text)."""
+    return chunks.where(is_raw()).select("id", "source_path", F.col("content_json")[0]["text"].alias("text"))
 
 
 def parse_entries(raw: DataFrame, message: Column | None = None) -> DataFrame:

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators import dedup
+from logweave.functions.paths import path_anchor
+from logweave.operators import dedup, records
+from logweave.operators.log_lines import is_raw, raw_chunks
+from logweave.plans.records import RECORDS_SQL
 from logweave.session import ship, table
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.event_records(table(spark, sf_dir, "log_chunks"))
+    """Records of event chunks, and those assembled from raw chunks, whose texts hold ``<time>`` in place of their time."""
+    chunks = table(spark, sf_dir, "log_chunks")
+    raw = raw_chunks(chunks).select(F.struct("id", "source_path").alias("key"), "text", path_anchor(F.col("source_path"))["at"].alias("anchor"))
+    assembled = records.assemble_texts(raw, "key", "text", "anchor").select("key.source_path", F.col("ts").alias("ts_start"), F.col("ts").alias("ts_end"), F.lit(1).cast("bigint").alias("cnt"), "text")
+    return dedup.event_records(chunks.where(~F.coalesce(is_raw(), F.lit(False)))).drop("id", "pos").unionByName(assembled)
 
 
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,8 @@ QUERIES = {
     "chunk_recursive_split": chunk_recursive_split, "chunk_pack": chunk_pack, "chunk_sizes": chunk_sizes,
 }
 
-_RECORDS = "r as (select source_path, id, unnest(content_json) as e from log_chunks), f as (select source_path, id, e.ts_start as ts_start, e.ts_end as ts_end, e.cnt as cnt, e.text as text from r)"
+_RECORDS = f"""{RECORDS_SQL}, r as (select source_path, id, unnest(content_json) as e from log_chunks where not coalesce(len(content_json) = 1 and content_json[1].ts_start is null, false)),
+f as (select source_path, e.ts_start as ts_start, e.ts_end as ts_end, e.cnt as cnt, e.text as text from r union all select source_path, moment, moment, 1, g.text from g join log_chunks using (id))"""
 
 SQL = {
     "dedup_lines": f"""
@@ -64,11 +72,11 @@ with {_RECORDS}
 select source_path, md5(text) as text_md5, epoch_us(min(ts_start)) as first_us, epoch_us(max(coalesce(ts_end, ts_start))) as last_us, cast(sum(coalesce(cnt, 1)) as bigint) as cnt
 from f group by source_path, text""",
     "dedup_reduction": f"""
-with {_RECORDS}, t as (select source_path, text, sum(coalesce(cnt, 1)) as c from f group by source_path, text)
-select source_path, cast(sum(c) as bigint) as n_events, count(*) as n_texts, round(coalesce(1 - count(*) / nullif(sum(c), 0), 0), 6) as reduction from t group by source_path""",
+with {_RECORDS}, sums as (select source_path, text, sum(coalesce(cnt, 1)) as c from f group by source_path, text)
+select source_path, cast(sum(c) as bigint) as n_events, count(*) as n_texts, round(coalesce(1 - count(*) / nullif(sum(c), 0), 0), 6) as reduction from sums group by source_path""",
     "dedup_timeline": f"""
-with {_RECORDS}, g as (select source_path, text, max(coalesce(ts_end, ts_start)) as e from f group by source_path, text)
-select source_path, md5(text) as text_md5, row_number() over (partition by source_path order by e nulls first, md5(text)) as place from g""",
+with {_RECORDS}, lasts as (select source_path, text, max(coalesce(ts_end, ts_start)) as e from f group by source_path, text)
+select source_path, md5(text) as text_md5, row_number() over (partition by source_path order by e nulls first, md5(text)) as place from lasts""",
     "chunk_fixed_split": """
 with p as (select doc_id, text, unnest(range(0, cast(ceil(length(text) / 1000.0) as bigint))) as i from documents where length(text) > 1000)
 select doc_id, cast(i as int) as piece_no, md5(substring(text, i * 1000 + 1, 1000)) as piece_md5 from p""",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from logweave.functions.paths import path_unit, same_path
 from logweave.operators import catalog, metrics, records
-from logweave.operators.log_lines import raw_chunks
 from logweave.plans.metrics import all_texts
 from logweave.session import ship, table
 
@@ -79,17 +78,6 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "pos", F.md5(records.record_text(F.col("r.ts_start"), F.col("r.ts_end"), F.col("r.cnt"), F.col("r.text"))).alias("line_md5"))
 
 
-def header_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of raw chunks in a window, header lines at the date of the path."""
-    raw = raw_chunks(table(spark, sf_dir, "log_chunks"))
-    lines = records.lines(raw, "id", "text")
-    _, ts = records.line_time(F.col("line"), F.lit(2016))
-    anchors = raw.select("id", records.path_anchor(F.col("source_path"))["at"].alias("anchor"))
-    first, last = F.lit("2016-01-10").cast("timestamp"), F.lit("2016-01-20").cast("timestamp")
-    found = records.header_records(lines.withColumn("ts", ts), "id", anchors, first, last)
-    return found.select("id", F.col("line_no").cast("bigint").alias("line_no"), F.unix_seconds("ts").alias("at"), "n_lines")
-
-
 def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of each match result, and their mean over all results with any."""
     sizes = table(spark, sf_dir, "match_results").select("had_date_overlap", F.size(F.array_distinct(F.transform("match_list", lambda x: F.translate(x["source_path"], "\\", "/")))).alias("n"))
@@ -105,7 +93,7 @@ def log_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "unique_names": unique_names, "collapsed_listing": collapsed_listing, "incident_days": incident_days, "wanted_files": wanted_files, "marker_grouped": marker_grouped, "event_texts": event_texts,
     "retrieval_quality": retrieval_quality, "text_recall": text_recall, "keyword_presence": keyword_presence, "length_density": length_density, "record_texts": record_texts,
-    "header_records": header_records, "source_coverage": source_coverage, "log_bins": log_bins,
+    "source_coverage": source_coverage, "log_bins": log_bins,
 }
 
 _PATH = r"replace(source_path, '\', '/')"

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweave.functions.paths import path_anchor
 from logweave.operators import records
 from logweave.operators.catalog import file_kind, file_name
+from logweave.sources.binary import decode
 
 #: Fixed value: schema of the records of a chunk.
 CONTENT = T.ArrayType(
@@ -41,12 +43,23 @@ def text_lines(spark: SparkSession, root: str, glob: str | None = None, kinds: t
     return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "line"))
 
 
-def windowed_records(spark: SparkSession, root: str, first: str, last: str, year: int = 1970) -> DataFrame:
-    """Records of all text files below ``root`` whose time lies in the window: path, line_no, ts, n_lines, text."""
-    lines = text_lines(spark, root).where(F.trim("line") != "")
-    parser, ts = records.line_time(F.col("line"), F.lit(year))
-    timed = lines.select("path", "line_no", "line", ts.alias("ts"), parser.alias("parser"))
-    return records.assemble(timed, "path", F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"))
+def windowed_records(spark: SparkSession, root: str, first: str, last: str, static: bool = True, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Records of all files below ``root`` whose time lies in the window: path, line_no, ts, n_lines, text.
+
+    Binary event files give their events, one record each, as JSON; other
+    files are read as text, with the date of their path for lines before the
+    first time (see ``records.assemble_texts``).  ``kinds`` keeps only files
+    of those kinds.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content").withColumn("kind", file_kind(file_name(F.col("path"))))
+    if kinds is not None:
+        files = files.where(F.col("kind").isin(*kinds))
+    begin, end = F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp")
+    texts = files.where("kind <> 'bin'").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), path_anchor(F.col("path"))["at"].alias("anchor"))
+    events = decode(files.where("kind = 'bin'").select("path", "content")).where(F.col("ts").between(begin, end))
+    fields = F.to_json(F.struct("event_id", "module", "flags", "subcode", "arg1", "arg2", "arg3"))
+    of_events = events.select("path", F.col("rec_no").alias("line_no"), "ts", F.lit(1).alias("n_lines"), fields.alias("text"))
+    return records.assemble_texts(texts, "path", "text", "anchor", begin, end, static).unionByName(of_events)
 
 
 def write_windowed(found: DataFrame, folder: str, keys: tuple[str, ...] = ("incident_ts",)) -> None:

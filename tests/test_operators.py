@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.functions.paths import path_anchor, path_date
 from logweave.operators import catalog, dedup, matching, metrics, records, search, stats
 from logweave.plans import metrics as plans
 from logweave.plans import more
@@ -74,43 +75,77 @@ def test_recursive_split(size):
     assert dedup.recursive_split("", size) == [] and dedup.recursive_split("a b", size) == ["a b"]
 
 
-def test_line_times_and_anchors(spark):
-    lines = ["21-12-16 10:00:00 x", "68-01-01 10:00:00", "69-01-01 10:00:00", "Mon Mar 10 21:52:05 UTC 2025", "Sep  1 2015, 17:47:02", "Aug  1 2022 04:00:50", "Mar  7 21:52:05", "Feb 29 10:00:00", "2025-03-11T08:18:47.1234567Z", "2025-03-11", "2025-13-11", "none", ""]
-    frame = spark.createDataFrame([(x,) for x in lines], "line string")
-    parser, ts = records.line_time(F.col("line"), F.lit(None).cast("int"))
-    got = [(r[0], str(r[1]) if r[1] else None) for r in frame.select(parser, ts).collect()]
-    assert got == [
-        ("short_yy-mm-dd", "2021-12-16 10:00:00"), ("short_yy-mm-dd", "2068-01-01 10:00:00"), ("short_yy-mm-dd", "1969-01-01 10:00:00"), ("text_with_dow", "2025-03-10 21:52:05"), ("syslog_year_comma", "2015-09-01 17:47:02"),
-        ("syslog_with_year", "2022-08-01 04:00:50"), ("syslog_no_year", "1970-03-07 21:52:05"), ("syslog_no_year", None), ("iso", "2025-03-11 08:18:47"), ("date_only", "2025-03-11 00:00:00"), ("date_only", None), (None, None), (None, None),
+def test_line_times(spark):
+    cases = [
+        ("21-12-16 10:00:00.25 x", "short_yy-mm-dd", "2021-12-16 10:00:00.250000", "<time> x"), ("68-01-01T10:00:00", "short_yy-mm-dd", "2068-01-01 10:00:00", "<time>"), ("69-01-01 10:00:00", "short_yy-mm-dd", "1969-01-01 10:00:00", "<time>"),
+        ("a Mon Mar 10 21:52:05 UTC 2025 b", "text_with_dow", "2025-03-10 21:52:05", "a <time> b"), ("Sun Mar 10 21:52:05 2025", "text_with_dow", "2025-03-10 21:52:05", "<time>"), ("Sep  1 2015, 17:47:02", "syslog_year_comma", "2015-09-01 17:47:02", "<time>"),
+        ("Aug  1 2022 04:00:50", "syslog_with_year", "2022-08-01 04:00:50", "<time>"), ("Xyz 1 2022 04:00:50 x", "syslog_with_year", None, "<time> x"), ("Mar  7 21:52:05 up", "syslog_no_year+1970", "1970-03-07 21:52:05", "<time> up"), ("Feb 29 10:00:00", "syslog_missing_year", None, "<time>"),
+        ("2025-03-11T08:18:47+02:00 x", "iso", "2025-03-11 06:18:47", "<time> x"), ("2025-03-11 08:18:47.5Z", "iso", "2025-03-11 08:18:47.500000", "<time>"), ("2025-03-11T08:18:47.1234567Z", "iso", "2025-03-11 08:18:47", "<time>.1234567Z"),
+        ("2025-03-11 08:18:47 and 2025-03-11 08:18:48", "iso", "2025-03-11 08:18:47", "<time> and 2025-03-11 08:18:48"), ("2025-03-11", "date_only", "2025-03-11 00:00:00", "<time>"), ("25-03-11 x", "date_only", "2025-03-11 00:00:00", "<time> x"),
+        ("12-34-56", "date_only", None, "<time>"), ("2025-13-11", "date_only", None, "<time>"), ("0000-01-01", "date_only", None, "<time>"), ("none", None, None, "none"),
     ]
-    paths = ["a/2016-01-02T03_04_05/x", "a\\2016-01-02_03_04_05\\2015-01-01T00_00_00", "a/1.2.70/3.4.71", "a/30.2.2016/x", "", None, "x_010216/y_020316"]
-    anchors = spark.createDataFrame([(p,) for p in paths], "p string").select(records.path_anchor(F.col("p")).alias("a")).collect()
-    assert [(r.a.score, str(r.a["at"])[:10]) if r.a else None for r in anchors] == [(1001, "2016-01-02"), (1002, "2015-01-01"), (102, "1971-04-03"), None, None, None, (651, "2016-03-02")]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(99, None), (98, " \r\n\t")], "i int, line string")
+    read = frame.select("i", F.explode(records.parsed_lines(F.col("line"), F.lit(None).cast("int"))).alias("r")).select("i", "r.*").collect()
+    assert {r.i: (r.parser, str(r.ts) if r.ts else None, r.text) for r in read} == {i: c[1:] for i, c in enumerate(cases)}
+    anchored = frame.where("i in (8, 9)").select(F.explode(records.parsed_lines(F.col("line"), F.lit(2016))).alias("r")).select("r.*").collect()
+    assert [(r.parser, str(r.ts)) for r in anchored] == [("syslog_no_year+anchor", "2016-03-07 21:52:05"), ("syslog_missing_year", "None")]
+
+
+def test_path_anchors(spark):
+    cases = [
+        ("a/2016-01-02T03_04_05/x", 1001, "2016-01-02 03:04:05"), ("a\\2016-01-02_03_04_05\\2015-01-01T00_00_00", 1002, "2015-01-01 00:00:00"), ("a/1.2.70/3.4.71", 102, "1971-04-03 00:00:00"), ("1.2.70", 100, "2070-02-01 00:00:00"), ("a/1.2.70/3.4.1971", 152, "1971-04-03 00:00:00"), ("u/5.6.71", 101, "1971-06-05 00:00:00"),
+        ("a/07.03.25_22.14", 801, "2025-03-07 22:14:00"), ("hmi_131122_0628\\log", 750, "2022-11-13 06:28:00"), ("a/17 Jan 23/b", 671, "2023-01-17 00:00:00"), ("a/x 7  SEPTEMBER 23", 671, "2023-09-07 00:00:00"), ("a/17 Jan 2023", None, None),
+        ("x_010216/y_020316", 651, "2016-03-02 00:00:00"), ("x_710126_y/z", None, None), ("a/run 10.3.2025 x/b", 151, "2025-03-10 00:00:00"), ("a//run-10-3-25b", 101, "2025-03-10 00:00:00"), ("a/30.2.2016/x", None, None), ("a/1.2.20161", None, None),
+        ("a/2016-13-02T03_04_05 1.2.16", None, None), ("x_310216/1.2.16", 101, "2016-02-01 00:00:00"), ("", None, None), (None, None, None), ("1.2.16/1.3.16", 101, "2016-03-01 00:00:00"),
+    ]
+    found = spark.createDataFrame([(p,) for p, *_ in cases], "p string").select(path_anchor(F.col("p")).alias("a")).collect()
+    assert [(r.a.score, str(r.a["at"])) if r.a else (None, None) for r in found] == [c[1:] for c in cases]
+    assert [(d[0], str(d[1])) if d else (None, None) for d in map(path_date, (c[0] for c in cases))] == [c[1:] for c in cases]
 
 
 def test_assembly_against_a_loop(spark):
+    """Both forms of the assembly, with and without a window, against a state machine line by line."""
     import datetime as dt
 
     rng = random.Random(9)
-    rows, expected = [], {}
-    for key in range(30):
-        current = None
-        for n in range(rng.randrange(40)):
-            ts = dt.datetime(2016, 1, rng.randrange(1, 28)) if rng.random() < 0.4 else None
-            rows.append((key, n, f"l{n}", ts))
-            if ts is not None:
-                current = (key, n)
-                expected[current] = [ts, f"l{n}"]
+    first, last = dt.datetime(2016, 1, 8), dt.datetime(2016, 1, 20)
+    texts, plain, windowed, unanchored = [], {}, {}, {}
+    for key in range(120):
+        anchor = rng.choice([None, dt.datetime(2016, 1, 5), dt.datetime(2016, 1, 10, 3)])
+        written = [rng.choice(["", "  ", "body", "other 12", f"2016-01-{rng.randrange(1, 28):02d} 10:00:00 x", "2016-02-31 10:00:00 bad"]) for _ in range(rng.randrange(14))]
+        texts.append((key, rng.choice(["\n", "\r\n", "\r"]).join(written), anchor, 1))
+        current = inside = None
+        for n, line in enumerate(x.strip() for x in written):
+            if not line:
+                continue
+            timed = line.startswith("2016-01")
+            ts = dt.datetime.strptime(line[:19], "%Y-%m-%d %H:%M:%S") if timed else None
+            text = "<time>" + line[19:] if line.startswith("2016") else line
+            if timed:
+                current, inside = (key, n), first <= ts <= last
+                plain[current] = unanchored[current] = [ts, text]
+                if inside:
+                    windowed[current] = [ts, text]
             elif current is None:
-                expected[key, n] = [None, f"l{n}"]
+                plain[key, n], unanchored[key, n] = [anchor, text], [None, text]
+                if anchor is None:
+                    windowed[key, n] = [None, text]
+                elif first <= anchor <= last:
+                    head = next((k for k in windowed if k[0] == key), None)
+                    windowed[head or (key, n)] = [anchor, windowed[head][1] + "\n" + text if head else text]
             else:
-                expected[current][1] += f"\nl{n}"
-    frame = spark.createDataFrame(rows, "id int, line_no int, line string, ts timestamp")
-    assert {(r.id, r.line_no): [r.ts, r.text] for r in records.assemble(frame, "id").collect()} == expected
-    anchors = spark.createDataFrame([(0, dt.datetime(2016, 1, 5)), (1, dt.datetime(2015, 1, 5)), (2, None)], "id int, anchor timestamp")
-    small = spark.createDataFrame([(k, n, "h", None) for k in range(3) for n in range(2)] + [(k, 9, "t", dt.datetime(2016, 1, 5)) for k in range(3)], "id int, line_no int, line string, ts timestamp")
-    found = records.header_records(small, "id", anchors, F.lit("2016-01-04").cast("timestamp"), F.lit("2016-01-06").cast("timestamp")).collect()
-    assert sorted((r.id, r.line_no, r.n_lines, r.ts is None) for r in found) == [(0, 0, 2, False), (0, 9, 1, False), (1, 9, 1, False), (2, 0, 1, True), (2, 1, 1, True), (2, 9, 1, False)]
+                plain[current] = unanchored[current] = [plain[current][0], plain[current][1] + "\n" + text]
+                if inside:
+                    windowed[current] = [windowed[current][0], windowed[current][1] + "\n" + text]
+    frame = spark.createDataFrame(texts + [(900, None, None, 1), (901, "", first, 1)], "id int, body string, anchor timestamp, ts int")
+    of = lambda rows: {(r.id, r.line_no): [r.ts, r.text] for r in rows.collect()}
+    window = F.lit("2016-01-08").cast("timestamp"), F.lit("2016-01-20").cast("timestamp")
+    assert of(records.assemble_texts(frame, "id", "body", "anchor")) == plain
+    assert of(records.assemble_texts(frame, "id", "body", "anchor", *window)) == windowed
+    assert of(records.assemble_texts(frame, "id", "body", "anchor", *window, static=False)) == {k: v for k, v in windowed.items() if v[0] is not None}
+    lines = frame.select("id", F.explode(records.parsed_lines(F.col("body"), F.lit(2016))).alias("r")).select("id", "r.*")
+    assert of(records.assemble(lines, "id")) == unanchored
+    assert records.assemble_texts(frame.limit(0), "id", "body", "anchor").count() == 0
 
 
 def test_windows(spark):

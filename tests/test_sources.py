@@ -118,12 +118,22 @@ def test_text_and_window(spark, tmp_path):
     assert files.scan_files(spark, str(tmp_path)).count() == 2 and files.scan_files(spark, str(tmp_path), ignored=("b.bin",)).count() == 1
     assert files.text_lines(spark, str(tmp_path), kinds=("log",)).count() == 6
     found = files.windowed_records(spark, str(tmp_path / "sub"), "2016-01-05", "2016-01-06").orderBy("line_no").collect()
-    assert [r.text for r in found] == ["static", "2016-01-05 10:00:00 one\nmore"]
+    assert [r.text for r in found] == ["static", "<time> one\nmore"]
     frame = files.windowed_records(spark, str(tmp_path / "sub"), "2016-01-05", "2016-01-06")
     files.write_plain(frame, str(tmp_path / "plain"))
-    assert "2016-01-05T10:00:00: 2016-01-05 10:00:00 one" in {r.value for r in spark.read.text(str(tmp_path / "plain")).collect()}
+    assert "2016-01-05T10:00:00: <time> one" in {r.value for r in spark.read.text(str(tmp_path / "plain")).collect()}
     files.write_windowed(frame.withColumn("incident_ts", F.lit("t1")), str(tmp_path / "win"))
     assert spark.read.parquet(str(tmp_path / "win")).count() == 2
+    # binary files of the window are dispatched to their own reader, the date of the path is that of lines without one
+    event = struct.pack(">IB", 1451988000, 0) + struct.pack("<HHHH", 7, 8, 3, 4) + b"\0" * 19
+    both = tmp_path / "both" / "2016-01-05T09_00_00"
+    both.mkdir(parents=True)
+    (both / "e.bin").write_bytes(b"h" * 11 + event + event[:4] + b"\0" * 28)
+    (both / "a.log").write_bytes(b"head\nlines\n2016-01-05 10:00:00 one\n")
+    found = files.windowed_records(spark, str(tmp_path / "both"), "2016-01-05", "2016-01-06").collect()
+    assert sorted((str(r.ts), r.n_lines, r.text) for r in found if "log" in r.path) == [("2016-01-05 09:00:00", 2, "head\nlines"), ("2016-01-05 10:00:00", 1, "<time> one")]
+    assert {json.loads(r.text)["event_id"] for r in found if "bin" in r.path} == {0, 7}
+    assert files.windowed_records(spark, str(tmp_path / "both"), "2016-01-05", "2016-01-06", kinds=("log",)).count() == 2
 
 
 def test_chunk_files(spark, tmp_path):
