@@ -74,11 +74,9 @@ def _segment_date(segment: Column, place: Column) -> Column:
 
 
 def path_anchor(path: Column) -> Column:
-    """``path_date`` as an expression: struct (score, at, source, part), null without a valid date."""
+    """``path_date`` as an expression: struct (score, order, at, source, part), null without a valid date; order only breaks ties."""
     segments = F.filter(F.split(path, r"[/\\\\]"), lambda s: s != "")
-    dated = F.filter(F.transform(segments, _segment_date), lambda x: x["at"].isNotNull())
-    best = F.array_max(dated)
-    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), best["at"].alias("at"), best["source"].alias("source"), best["part"].alias("part")))
+    return F.array_max(F.filter(F.transform(segments, _segment_date), lambda x: x["at"].isNotNull()))
 
 
 def same_path(path: Column) -> Column:
