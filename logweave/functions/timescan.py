@@ -34,6 +34,9 @@ NOTATIONS = (
     "?D-*b-YYYY ?h:mm:ss", "?D-*b-YYYY ?h:mm", "www, ?D *b YYYY hh:mm:ss",
 )
 
+#: Times that only the heads of log lines hold: month and day without a year, and the time of access logs.
+HEAD_NOTATIONS = ("MMDD hh:mm:ss", "MM-DD hh:mm:ss", "?D/bbb/YYYY:hh:mm:ss")
+
 #: Full month names.
 FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept")
 
@@ -82,6 +85,7 @@ def _compile(notations: tuple[str, ...]) -> dict:
 
 
 _TRIE = _compile(NOTATIONS)
+_HEAD_TRIE = _compile(HEAD_NOTATIONS)
 
 
 class Written:
@@ -95,7 +99,12 @@ class Written:
         self.fraction, self.zone, self.notation = "", "", ""
 
 
-def scan(text: str, at: int = 0) -> Written | None:
+def scan_head(text: str, at: int = 0) -> Written | None:
+    """``scan`` for ``HEAD_NOTATIONS`` alone."""
+    return scan(text, at, _HEAD_TRIE)
+
+
+def scan(text: str, at: int = 0, trie: dict = _TRIE) -> Written | None:
     """The longest written time that begins at ``at``, or None.
 
     The automaton stops at the first character without a transition.  After
@@ -103,7 +112,7 @@ def scan(text: str, at: int = 0) -> Written | None:
     Bare numbers of 10, 13, 16 or 19 digits are Unix times.  Impossible dates
     and times are not recognised.
     """
-    node, i, n, best = _TRIE, at, len(text), None
+    node, i, n, best = trie, at, len(text), None
     while i < n:
         c = text[i]
         step = node.get(c)
@@ -119,7 +128,7 @@ def scan(text: str, at: int = 0) -> Written | None:
         if "accept" in node:
             best = (i, node["accept"])
     if best is None:
-        return _number(text, at)
+        return _number(text, at) if trie is _TRIE else None
     end, (_, spans, notation) = best
     if end < n and "0" <= text[end] <= "9" and notation[-1] in "YDhms":
         return None

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.batches import ROWS_PER_BATCH, record_batch
 from logweave.functions.paths import path_year
-from logweave.functions.timescan import Written, as_written, scan
+from logweave.functions.timescan import Written, as_written, scan, scan_head
 
 # Level words, letters and syslog numbers.
 _DEBUG, _INFO, _WARN, _ERROR, _FATAL = "DEBUG", "INFO", "WARN", "ERROR", "FATAL"
@@ -197,7 +197,7 @@ class _Head:
         close = _BRACKETS.get(self.peek())
         if close is None:
             return None
-        end = self.line.find(close, self.at + 1, self.at + 120)
+        end = self.line.find(close, self.at + 1)
         if end < 0:
             return None
         content = self.line[self.at + 1 : end]
@@ -231,6 +231,9 @@ class _Head:
 
 
 _LINE_NUMBER = re.compile(r":\d+(?!\S)")
+_VERSION = re.compile(r"\d{1,2} ")
+_PLAIN_NUMBERS = re.compile(r"(?:\d+[ \t]+|-{2,}[ \t]+)+")
+_STRUCTURED = re.compile(r"(\S+) (\S+) (\S+) (\S+) (?:-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: |$)")
 
 
 def _time_in_bracket(head: _Head) -> Written | None:
@@ -258,6 +261,9 @@ def _opening(head: _Head) -> tuple[Written, str] | None:
             return None
         severity = SYSLOG[int(number) % 8]
         head.blanks()
+        version = _VERSION.match(head.line, head.at)
+        if version and scan(head.line, version.end()) is not None:
+            head.at = version.end()
     start = head.at
     written = _time(head)
     if written is None:
@@ -335,17 +341,110 @@ def _named_component(head: _Head) -> str:
     return ""
 
 
+def _in_dashes(head: _Head) -> tuple[str, str, str] | None:
+    """``- component - level - message`` with component and level in either order, or without component."""
+    if not head.line.startswith("- ", head.at):
+        return None
+    cells = head.line[head.at + 2 :].split(" - ", 2)
+    for one, other in ((0, 1), (1, 0)):
+        if len(cells) == 3 and level(cells[one]) is not None and " " not in cells[other].strip():
+            return level(cells[one]), _component(cells[other]), cells[2].strip()
+    if len(cells) > 1 and level(cells[0]) is not None:
+        return level(cells[0]), "", " - ".join(cells[1:]).strip()
+    return None
+
+
+def _in_names(head: _Head, severity: str) -> tuple[str, str, str] | None:
+    """``name=value`` fields behind the time, one of them the message."""
+    name = _NAME.match(head.line, head.at)
+    if name is None or head.line[name.end() : name.end() + 1] != "=":
+        return None
+    fields, _ = _named(head.line, head.at)
+    if "message" not in fields:
+        return None
+    return level(fields.get("level", "")) or severity, _component(fields.get("component", "")), fields["message"]
+
+
+def _structured(head: _Head, severity: str) -> tuple[str, str, str] | None:
+    """``host component process message-id structured-data message``; ``-`` stands for what is missing."""
+    found = _STRUCTURED.match(head.line, head.at)
+    if found is None:
+        return None
+    component = found.group(2)
+    return severity, "" if component == "-" else _component(component), head.line[found.end() :].strip()
+
+
+def _level_word(head: _Head) -> str | None:
+    """The severity of a level word here, with its mark; without one the head stays."""
+    start = head.at
+    word = head.name()
+    found = level(word) if word and len(word) > 1 and head.peek() in (" ", "\t", ":") else None
+    if found is None:
+        head.at = start
+        return None
+    head.mark()
+    head.blanks()
+    return found
+
+
+def _threaded(head: _Head) -> tuple[str, str] | None:
+    """``[thread] level``, ``[thread/level]`` or ``[thread] [level]``: severity and thread; otherwise the head stays."""
+    start = head.at
+    inner = head.bracket() if head.peek() in ("[", "(") else None
+    if inner is None:
+        head.at = start
+        return None
+    before, slash, last = inner.rpartition("/")
+    if slash and level(last) is not None and len(last) > 1:
+        head.mark()
+        head.blanks()
+        return level(last), before
+    head.blanks()
+    found = _level_in_bracket(head) or _level_word(head)
+    if found is None:
+        head.at = start
+        return None
+    return found, inner
+
+
+def _aside(head: _Head) -> tuple[str, str]:
+    """What stands between level and component, numbers, dashes and a thread in brackets: component and thread.
+
+    Without a component behind it the head stays, unless a bracket holds a
+    single name: that is the component.
+    """
+    start = head.at
+    numbers = _PLAIN_NUMBERS.match(head.line, head.at)
+    if numbers:
+        head.at = numbers.end()
+    inner = head.bracket() if head.peek() in ("[", "(") else None
+    if inner is None and not numbers:
+        return "", ""
+    head.blanks()
+    behind = head.at
+    component = _named_component(head)
+    if component:
+        return component, inner or ""
+    if inner and _NAME.fullmatch(_component(inner)):
+        head.at = behind
+        return _component(inner), ""
+    head.at = start
+    return "", ""
+
+
 def _positional(line: str, year: int | None) -> tuple | None:
     """Grammars of lines whose fields stand in a fixed order.
 
     The opening is followed by one of: cells parted by ``|`` or ``;``; cells
-    parted by tabs; a level in brackets, ``letter/`` or a level word, then
-    host, component and mark, then perhaps a level in brackets.
+    parted by tabs; cells parted by dashes; ``name=value`` fields; the fields
+    of structured syslog; a thread in brackets with a level; a level in
+    brackets, ``letter/`` or a level word, then host, component and mark, then
+    perhaps a level in brackets.
     """
     head = _Head(_COLOUR.sub("", line) if "\x1b" in line else line)
     opened = _opening(head)
     if opened is None:
-        return None
+        return _lettered(head, year) or _access(head)
     written, severity = opened
     logged = as_written(written, year)
     if head.peek() in ("|", ";"):
@@ -353,21 +452,34 @@ def _positional(line: str, year: int | None) -> tuple | None:
         return None if found is None else (logged, *found)
     head.blanks()
     found = _in_tabs(head) if "\t" in head.line[head.at :] else None
+    found = found or _in_dashes(head) or _in_names(head, severity)
+    if found is None and severity and head.line[0] == "<" and _VERSION.match(head.line, head.line.find(">") + 1):
+        found = _structured(head, severity)
     if found is not None:
         return (logged, *found)
-    severity = _level_in_bracket(head) or severity
-    start = head.at
-    word = head.name()
-    if word and head.peek() == "/" and level(word) is not None:
-        severity = level(word)
-        head.at += 1
-    elif word and not severity and len(word) > 1 and level(word) is not None and head.peek() in (" ", "\t", ":"):
-        severity = level(word)
-        head.mark()
-        head.blanks()
+    thread = ""
+    in_bracket = _level_in_bracket(head)
+    threaded = None if in_bracket else _threaded(head)
+    if threaded:
+        severity, thread = threaded
     else:
-        head.at = start
+        severity = in_bracket or severity
+        start = head.at
+        word = head.name()
+        if word and head.peek() == "/" and level(word) is not None:
+            severity = level(word)
+            head.at += 1
+        elif word and not severity and len(word) > 1 and level(word) is not None and head.peek() in (" ", "\t", ":"):
+            severity = level(word)
+            head.mark()
+            head.blanks()
+        else:
+            head.at = start
     component = _named_component(head)
+    if not component and severity:
+        component, _ = _aside(head)
+    if not component and thread and _NAME.fullmatch(_component(thread)):
+        component = _component(thread)
     if not component:
         head.mark()
     head.blanks()
@@ -375,6 +487,46 @@ def _positional(line: str, year: int | None) -> tuple | None:
     return logged, severity or bracketed or "", component, head.rest()
 
 
+_LETTER_FIRST = frozenset("DVIWEF")
+
+
+def _lettered(head: _Head, year: int | None) -> tuple | None:
+    """``Lmmdd time number file:line] message`` and ``mm-dd time number number L component: message``, L a level letter."""
+    head.at = 0
+    letter = head.line[:1] if head.line[:1] in _LETTER_FIRST else ""
+    written = scan_head(head.line, len(letter))
+    if written is None or written.notation[0] != "M" or bool(letter) == ("-" in written.notation):
+        return None
+    head.at = written.end
+    head.blanks()
+    numbers = _PLAIN_NUMBERS.match(head.line, head.at)
+    if numbers:
+        head.at = numbers.end()
+    if letter:
+        place = head.cell("]")
+        if place is None or " " in place:
+            return None
+        return as_written(written, year), level(letter), _component(place), head.rest()
+    letter = head.peek()
+    head.at += 1
+    if letter not in _LETTER_FIRST or not head.blanks():
+        return None
+    return as_written(written, year), level(letter), _named_component(head), head.rest()
+
+
+_ACCESS = re.compile(r"\S+ \S+ \S+ \[")
+
+
+def _access(head: _Head) -> tuple | None:
+    """``host identity user [time] "request" status size``: neither level nor component, all behind the time is the message."""
+    found = _ACCESS.match(head.line)
+    written = scan_head(head.line, found.end()) if found else None
+    if written is None or written.year is None or head.line[written.end : written.end + 1] != "]":
+        return None
+    head.at = written.end + 1
+    return as_written(written, None), "", "", head.rest()
+
+
 _LABEL = re.compile(r"([A-Za-z][A-Za-z _]{0,15}?)[ \t]*[:=][ \t]*")
 
 

@@ -27,6 +27,14 @@ CHUNK = "id bigint, source_path string, content_json array<struct<ts_start times
         ('<entry t="2016-01-05T10:27:56Z" l="I" c="pis.audio">a &lt; b</entry>', ("2016-01-05 10:27:56", "INFO", "pis.audio", "a < b")),
         ("Time : 2016-01-12 02:35:36.341\nLevel : TRACE\nSource : panto.arm\nText : flush cycle", ("2016-01-12 02:35:36", "DEBUG", "panto.arm", "flush cycle")),
         ("at: 2016-01-12 02:35:36\nmsg: flush cycle", ("2016-01-12 02:35:36", "", "", "flush cycle")),
+        ("2016-01-12 02:35:36 - com.foo - INFO - a - b", ("2016-01-12 02:35:36", "INFO", "com.foo", "a - b")), ("2016-01-12 02:35:36 - WARNING - com.foo - a", ("2016-01-12 02:35:36", "WARN", "com.foo", "a")),
+        ("2016-01-12 02:35:36,123 [main] INFO com.foo.Bar - m", ("2016-01-12 02:35:36", "INFO", "com.foo.Bar", "m")), ("2016-01-12 02:35:36 INFO [main] com.foo.Bar - m", ("2016-01-12 02:35:36", "INFO", "com.foo.Bar", "m")),
+        ("2016-01-12 02:35:36.123  INFO 1234 --- [  main] c.f.Bar   : m", ("2016-01-12 02:35:36", "INFO", "c.f.Bar", "m")), ("I0112 02:35:36.123 99 file.cc:12] m: n", ("2016-01-12 02:35:36", "INFO", "file.cc", "m: n")),
+        ('1.2.3.4 - bob [10/Oct/2015:13:55:36 -0700] "GET / HTTP/1.0" 200 7', ("2015-10-10 13:55:36", "", "", '"GET / HTTP/1.0" 200 7')), ("01-12 02:35:36.123  1234  5678 E Tag: m", ("2016-01-12 02:35:36", "ERROR", "Tag", "m")),
+        (f"2016-01-12 02:35:36 [<{'y' * 300}>] [ERROR] Comp: m", ("2016-01-12 02:35:36", "ERROR", "Comp", "m")), ("2016-01-12 02:35:36 [ERROR] [Comp] m", ("2016-01-12 02:35:36", "ERROR", "Comp", "m")),
+        ("[2016-01-12 02:35:36] [main/WARN]: m", ("2016-01-12 02:35:36", "WARN", "main", "m")), ("2016-01-12 02:35:36 [note] m (no component)", ("2016-01-12 02:35:36", "INFO", "", "m (no component)")),
+        ("<34>1 2016-01-12T02:35:36.003Z host su 7 ID47 - m", ("2016-01-12 02:35:36", "FATAL", "su", "m")), ('<165>1 2016-01-12T02:35:36Z host - - - [x@1 a="b \\] c"] m', ("2016-01-12 02:35:36", "INFO", "", "m")),
+        ('2016-01-12 02:35:36 pid=12 level=warn logger=a.b msg="x y"', ("2016-01-12 02:35:36", "WARN", "a.b", "x y")),
     ],
 )
 def test_layouts(line, expected):
