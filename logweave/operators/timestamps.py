@@ -1,16 +1,18 @@
 """Mixed timestamp notations and zones into one UTC instant.
 
 A value may be read in several ways (day or month first, year first or last,
-Unix or spreadsheet number).  Per source, expectation-maximisation estimates
-how often each format occurs: every value shares its count among its valid
-readings in proportion to the present format weights (E step), the shares
-give new weights (M step).  Posteriors choose a reading; where none is clear
-the value is marked ``ambiguous`` instead of being guessed.
-
-Scale: values are read inside Arrow batches; EM runs on counts per (source,
-set of valid formats).  There are few such sets however many rows there are,
-and they are pre-aggregated before the shuffle, so a source with a third of
-all rows weighs no more than any other.
+Unix or spreadsheet number), or be a mistake.  Per source, expectation-
+maximisation estimates how often each format and mistakes occur: every value
+shares its count among its valid readings in proportion to the present
+weights (E step), the shares and the prior give new weights (M step).  The
+stated conventions are the prior: an unusual format stays in the mixture and
+wins in a source that shows enough of it.  Posteriors choose a reading; where
+none is clear the value is marked ``ambiguous`` instead of being guessed.
+
+Scale: values are read once, inside Arrow batches; EM runs on counts per
+(source, set of valid formats).  There are few such sets however many rows
+there are, and they are pre-aggregated before the shuffle, so a source with a
+third of all rows weighs no more than any other.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.batches import record_batch
+from logweave.functions.joins import salted, small
 from logweave.functions.paths import cell_under, path_unit, path_year, unit_key
 from logweave.functions.timescan import possible, scan
+from logweave.session import ensure_checkpoint_dir
 
-#: Formats that the stated conventions rule out.  Hyphenated and
+#: Formats that the stated conventions make unusual.  Hyphenated and
 #: year-first dates run year, month, day; dotted and slashed ones day first.
 DAY_FIRST = frozenset(
     {
@@ -47,6 +52,10 @@ _HEX = re.compile(r"0[xX]([0-9a-fA-F]+)$")
 _KINDS = {"-": "hyphen", ".": "dot", "/": "slash"}
 _EPOCH = datetime(1970, 1, 1)
 _SHEET_EPOCH = datetime(1899, 12, 30)
+#: The prior counts as much as the values of a source and this many more; what shares of it a usual format, an unusual
+#: one and mistakes have; how likely a mistake looks like a date that only unusual formats read.
+PRIOR_VALUES, USUAL, UNUSUAL, MISTAKES, MISTAKE_LOOKS_VALID = 50, 0.01, 0.0001, 0.05, 0.5
+MISTAKE = ""
 _SECONDS_AT = ((10**8, 10**11, 1), (10**11, 10**14, 10**3), (10**14, 10**17, 10**6), (10**17, 10**20, 10**9))
 
 
@@ -160,99 +169,99 @@ def instant(wall: datetime, written: str, zone_name: str | None) -> tuple[int |
     return min(at for at, _ in fitting), "zone" if len({at for at, _ in fitting}) == 1 else "earlier of two"
 
 
-def expectation_maximisation(counts: list[tuple[tuple[str, ...], int]], excluded: frozenset[str], rounds: int = 30, smoothing: float = 0.01) -> dict[str, float]:
-    """Weights of the formats of one source.
+def expectation_maximisation(counts: list[tuple[tuple[str, ...], int]], unusual: frozenset[str], rounds: int = 200) -> list[dict[str, float]]:
+    """Posteriors of the formats of one source, and of ``MISTAKE``, for each set of valid formats.
 
-    ``counts``: how many values have just this set of valid formats.  An
-    excluded format has no weight.  The smoothing keeps every admitted format
-    possible, so that one value never decides alone against another.
+    ``counts``: how many values have just this set of valid formats.  A value
+    that a usual format reads is no mistake.  Weights start from the prior;
+    its pseudo-counts keep every format possible, so that one value never
+    decides alone against another.
     """
-    formats = sorted({f for names, _ in counts for f in names} - excluded)
-    if not formats:
-        return {}
-    weights = dict.fromkeys(formats, 1 / len(formats))
+    sets = [tuple(names) + (() if set(names) - unusual else (MISTAKE,)) for names, _ in counts]
+    prior = {f: MISTAKES if f == MISTAKE else UNUSUAL if f in unusual else USUAL for names in sets for f in names}
+    looks = {f: MISTAKE_LOOKS_VALID if f == MISTAKE else 1.0 for f in prior}
+    strength = PRIOR_VALUES + sum(n for _, n in counts)
+
+    def posteriors(weights: dict[str, float]) -> list[dict[str, float]]:
+        joint = [{f: weights[f] * looks[f] for f in names} for names in sets]
+        return [{f: p / sum(j.values()) for f, p in j.items()} for j in joint]
+
+    weights = dict(prior)
     for _ in range(rounds):
-        shares = dict.fromkeys(formats, smoothing)
-        for names, count in counts:
-            total = sum(weights.get(f, 0.0) for f in names)
-            if total:
-                for f in names:
-                    if f in weights:
-                        shares[f] += count * weights[f] / total
+        shares = {f: strength * p for f, p in prior.items()}
+        for (_, n), posterior in zip(counts, posteriors(weights), strict=True):
+            for f, p in posterior.items():
+                shares[f] += n * p
         whole = sum(shares.values())
         updated = {f: s / whole for f, s in shares.items()}
-        moved = max(abs(updated[f] - weights[f]) for f in formats)
+        moved = max((abs(updated[f] - weights[f]) for f in weights), default=0.0)
         weights = updated
         if moved < 1e-9:
             break
-    return weights
+    return posteriors(weights)
 
 
-_READ = pa.schema([("origin", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("unit", pa.string()), ("value", pa.string()), ("sheets", pa.bool_()), ("year", pa.int32()), ("formats", pa.string())])
+_READING = pa.struct([("format", pa.string()), ("utc_us", pa.int64()), ("wall_us", pa.int64()), ("zone", pa.string())])
+_READ = pa.schema([("origin", pa.string()), ("rec_id", pa.int64()), ("source", pa.string()), ("unit", pa.string()), ("formats", pa.string()), ("readings", pa.list_(_READING))])
+_RESOLVED = pa.schema([("origin", pa.string()), ("rec_id", pa.int64()), ("utc_us", pa.int64()), ("format", pa.string()), ("posterior", pa.float64()), ("status", pa.string())])
 
 
-def normalise_times(values: DataFrame, zones: DataFrame, excluded: frozenset[str] = DAY_FIRST, clear: float = 0.9) -> DataFrame:
+def normalise_times(values: DataFrame, zones: DataFrame, unusual: frozenset[str] = DAY_FIRST, clear: float = 0.9) -> DataFrame:
     """One row per value with its instant, or with the reason why it has none.
 
     ``values``: origin, rec_id, source (the group that shares format habits),
     unit (key of the zone), path (may give a missing year), value, sheets
-    (whether spreadsheet numbers occur).  ``zones``: unit, zone_name; a small
-    dimension of bounded size (one row per vehicle).  Result: origin, rec_id,
-    utc_us, format, posterior, status; status is ``resolved``, ``ambiguous``,
-    ``unreadable``, or what ``instant`` says.  Null, blank and unusable
-    values are ``unreadable``; repeated rows stay repeated.
+    (whether spreadsheet numbers occur).  ``zones``: unit, zone_name, one row
+    per unit.  Result: origin, rec_id, utc_us, format, posterior, status;
+    status is ``resolved``, ``ambiguous`` (no reading has a posterior of
+    ``clear``), ``mistake``, ``unreadable``, or what ``instant`` says.  Null,
+    blank and unusable values are ``unreadable``; repeated rows stay
+    repeated; values without a source are one source.
     """
+    ensure_checkpoint_dir(values.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             origin, key, source, unit, path, value, sheets = (batch.column(i).to_pylist() for i in range(7))
-            years = [path_year(p) for p in path]
-            formats = ["|".join(sorted({r[0] for r in readings(v, y, bool(s))})) for v, y, s in zip(value, years, sheets, strict=True)]
-            columns = (origin, key, source, unit, value, sheets, years, formats)
+            found = [readings(v, path_year(p), bool(s)) for v, p, s in zip(value, path, sheets, strict=True)]
+            formats = ["|".join(sorted({r[0] for r in rs})) for rs in found]
+            told = [[(name, at, None if wall is None else (wall - _EPOCH) // timedelta(microseconds=1), zone) for name, at, wall, zone in rs] for rs in found]
+            columns = (origin, key, source, unit, formats, [[dict(zip(("format", "utc_us", "wall_us", "zone"), r, strict=True)) for r in rs] for rs in told])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
 
-    # values without a source are one source
     source = F.coalesce("source", F.lit("")).alias("source")
     read_values = values.select("origin", "rec_id", source, "unit", "path", "value", "sheets").mapInArrow(
-        read, "origin string, rec_id bigint, source string, unit string, value string, sheets boolean, year int, formats string"
+        read, "origin string, rec_id bigint, source string, unit string, formats string, readings array<struct<format: string, utc_us: bigint, wall_us: bigint, zone: string>>"
     )
+    read_values = read_values.checkpoint()  # read once, used for the counts and the choice
     counts = read_values.where("formats <> ''").groupBy("source", "formats").agg(F.count("*").alias("n"))
 
-    def posteriors(group: pd.DataFrame) -> pd.DataFrame:
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
         sets = [tuple(f.split("|")) for f in group["formats"]]
-        weights = expectation_maximisation(list(zip(sets, group["n"], strict=True)), excluded)
-        rows = []
-        for names, written in zip(sets, group["formats"], strict=True):
-            total = sum(weights.get(f, 0.0) for f in names)
-            best = max(names, key=lambda f: (weights.get(f, 0.0), f))
-            if total:
-                rows.append((group["source"].iloc[0], written, best, weights.get(best, 0.0) / total))
-        return pd.DataFrame(rows, columns=["source", "formats", "format", "posterior"])
-
-    chosen = counts.groupBy("source").applyInPandas(posteriors, "source string, formats string, format string, posterior double")
-    merged = read_values.join(chosen, ["source", "formats"], "left").join(F.broadcast(zones.select("unit", "zone_name")), "unit", "left")
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = expectation_maximisation(list(zip(sets, group["n"].tolist(), strict=True)), unusual)
+        best = [max(p.items(), key=lambda x: (x[1], x[0])) for p in found]
+        return pd.DataFrame({"source": group["source"], "formats": group["formats"], "format": [b[0] for b in best], "posterior": [b[1] for b in best]})
+
+    chosen = counts.groupBy("source").applyInPandas(choose, "source string, formats string, format string, posterior double")
+    merged = salted(read_values, chosen, ["source", "formats"], "rec_id").join(small(zones.select("unit", "zone_name")), "unit", "left")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for origin, key, value, sheets, year, fmt, posterior, zone in batch.itertuples(index=False):
-                if not isinstance(fmt, str):
+            for origin, key, told, fmt, posterior, zone in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if fmt is None:
                     out.append((origin, key, None, None, None, "unreadable"))
-                    continue
-                if posterior < clear:
-                    out.append((origin, key, None, fmt, posterior, "ambiguous"))
-                    continue
-                reading = next(r for r in readings(value, None if pd.isna(year) else int(year), bool(sheets)) if r[0] == fmt)
-                if reading[1] is not None:
-                    out.append((origin, key, reading[1], fmt, posterior, "resolved"))
-                    continue
-                at, how = instant(reading[2], reading[3], zone if isinstance(zone, str) else None)
-                out.append((origin, key, at, fmt, posterior, "resolved" if at is not None else how))
-            frame = pd.DataFrame(out, columns=["origin", "rec_id", "utc_us", "format", "posterior", "status"])
-            frame["utc_us"] = frame["utc_us"].astype("Int64")
-            yield frame
-
-    return merged.select("origin", "rec_id", "value", "sheets", "year", "format", "posterior", "zone_name").mapInPandas(
+                elif fmt == MISTAKE or posterior < clear:
+                    out.append((origin, key, None, fmt or None, posterior, "ambiguous" if posterior < clear else "mistake"))
+                else:
+                    reading = next(r for r in told if r["format"] == fmt)
+                    at, how = reading["utc_us"], "resolved"
+                    if at is None:
+                        at, how = instant(_EPOCH + timedelta(microseconds=reading["wall_us"]), reading["zone"], zone)
+                    out.append((origin, key, at, fmt, posterior, "resolved" if at is not None else how))
+            yield record_batch(out, _RESOLVED)
+
+    return merged.select("origin", "rec_id", "readings", "format", "posterior", "zone_name").mapInArrow(
         resolve, "origin string, rec_id bigint, utc_us bigint, format string, posterior double, status string"
     )
 
