@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+
+from logweave.llm import nearest as module
 from logweave.llm.nearest import found_matches, nearest
 
 LEFT, RIGHT = "entity string, at_us bigint, left_id bigint, tick string", "entity string, at_us bigint, right_id bigint, tick string"
@@ -26,6 +30,32 @@ def test_against_brute_force(spark):
     assert nearest(frames[0].limit(0), frames[1]).count() == 0 and nearest(frames[0], frames[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dense", [3, 40])
+def test_finer_ticks_against_brute_force(spark, monkeypatch, dense):
+    """Ticks that are cut again and again, with records at a few points of a tick, in clusters and evenly spread."""
+    monkeypatch.setattr(module, "DENSE", dense)
+    monkeypatch.setattr(module, "PARTS", 8)
+    rng = random.Random(dense)
+    at = lambda: rng.choice([rng.randrange(4000), 1000 + rng.randrange(30), 2500 + rng.randrange(200)])
+    left = [(rng.choice("ab"), at(), i) for i in range(400)]
+    right = [(rng.choice("aab"), at(), i) for i in range(600)]
+    frames = spark.createDataFrame([(*r, "x") for r in left], LEFT), spark.createDataFrame([(*r, "x") for r in right], RIGHT)
+    assert sorted(tuple(r) for r in nearest(*frames, tolerance_us=90, tick_us=700).collect()) == brute(left, right, 90)
+
+
+def test_a_hundred_thousand_times_in_one_tick(spark):
+    rng = np.random.default_rng(4)
+    start = 1_500_000_300_000_000 // module.TICK_US * module.TICK_US
+    times = np.unique(np.concatenate([start + rng.integers(0, module.TICK_US, 60_000), start + 5_000_000 + rng.integers(0, 1_000_000, 40_000)]))
+    asked = start + rng.integers(-module.TICK_US, 2 * module.TICK_US, 3_000)
+    frame = lambda values, name: spark.createDataFrame([("hot", int(t), i) for i, t in enumerate(values)], f"entity string, at_us bigint, {name} bigint")
+    got = {r.left_id: r.right_id for r in nearest(frame(asked, "left_id"), frame(times, "right_id").repartition(4)).collect()}
+    place = np.clip(np.searchsorted(times, asked), 1, len(times) - 1)
+    best = np.where(asked - times[place - 1] <= times[place] - asked, place - 1, place)
+    expected = {i: int(b) for i, (b, t) in enumerate(zip(best, asked, strict=True)) if abs(int(times[b]) - int(t)) <= module.TOLERANCE_US}
+    assert got == expected
+
+
 def test_tables(spark):
     match = "array<struct<source_path string>>"
     incidents = spark.createDataFrame([(1, 5, "2016-01-01T10:00:00+01:00"), (2, 5, None), (3, 6, "2016-01-01T09:00:00Z"), (4, None, "2016-01-01T09:00:00Z"), (5, 7, "nonsense")], "incident_id bigint, ticket_id bigint, mapped_date string")
