@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logweave.llm import nearest, packing, residue, runs, splitting, tokenizer
 from logweave.session import ship, table
@@ -16,6 +17,12 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(ship(spark), sf_dir, "log_chunks"))
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and hash of the text that the pieces of a chunk join to, and whether all of them fit."""
+    whole = splitting.rejoined(splitting.split_chunks(table(ship(spark), sf_dir, "log_chunks")))
+    return whole.select("id", "n_chars", "text_md5", (F.col("longest") <= splitting.MAX_CHARS).alias("fits"), (F.col("reached") == F.col("n_chars")).alias("joined"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.found_runs(table(ship(spark), sf_dir, "log_chunks"))
 
@@ -42,12 +49,13 @@ def p10_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.remaining_corpus(table(ship(spark), sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_corpus": p10_corpus}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rejoined": p3_rejoined, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_corpus": p10_corpus}
 
 SQL = {
     "p3_found": r"""
 select id, cast(list_max(list_transform(string_split_regex(content_text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: length(x))) > 3000 as int) as hard
 from log_chunks where length(content_text) > 3000""",
+    "p3_rejoined": "select id, cast(length(content_text) as int) as n_chars, md5(content_text) as text_md5, true as fits, true as joined from log_chunks where length(content_text) > 3000",
     "p4_found": r"""
 with r as (select id, unnest(content_json) as e, unnest(range(0, len(content_json))) as pos from log_chunks where len(content_json) > 1),
 k as (select id, pos, e.cnt as cnt, coalesce(e.ts_start, e.ts_end) as a, coalesce(e.ts_end, e.ts_start) as b,
