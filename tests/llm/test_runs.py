@@ -51,3 +51,17 @@ def test_arrays(spark):
     got = sorted(tuple(r) for r in found_runs(frame).collect())
     assert got == [(1, 0, 3, 3, 2000), (1, 4, 2, 2, -1), (5, 0, 2, 1, -1), (6, 0, 2, 2, 0), (6, 0, 2, 2, 0)]
     assert found_runs(frame.limit(0)).count() == 0
+    for per_block in (1, 2, 5):
+        assert sorted(tuple(r) for r in found_runs(frame, per_block).collect()) == got
+
+
+def test_long_arrays_in_blocks(spark):
+    """Runs that end, begin and go on at the ends of blocks, also over several of them, against a loop."""
+    rng = random.Random(3)
+    arrays = [[(None, None, rng.choice([1, 2, None]), rng.choice(["fan 1", "Fan 2"] * 6 + ["door", None])) for _ in range(rng.randrange(2, 60))] for _ in range(60)]
+    arrays += [[(None, None, 1, "same 7")] * n for n in (64, 65, 128, 129, 1000)]
+    frame = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], f"id bigint, content_json {RECORD}")
+    events = lambda i: [(i, k, r[3], r[2], None, None) for k, r in enumerate(arrays[i])]
+    expected = sorted((i, at, n, c, -1) for i in range(len(arrays)) for _, at, n, c, _, _ in brute(events(i)) if n > 1)
+    for per_block in (3, 7, 64):
+        assert sorted(tuple(r) for r in found_runs(frame, per_block).collect()) == expected
