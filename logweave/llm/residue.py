@@ -19,8 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.batches import ROWS_PER_BATCH, record_batch
+from logweave.functions.joins import small
 from logweave.session import ensure_checkpoint_dir
 
+#: So many ids of excluded documents are broadcast (16 MB), no more.
+MOST_BROADCAST = 1_000_000
+
 #: A line is boilerplate of a host where it stands in so many different texts, however many the host has.
 LEAST_TEXTS = 3
 
@@ -52,28 +56,39 @@ NOTICE_WORDS = (
     interner angeforderte angeforderten datei konnte wurde werden nochmals zurück gehen neu laden adresse prüfen und oder für mit im browser
     du denna detta sida sidan vy för att visa inte kunde på och igen om en stund försök adressen kontrollera ladda behörig rapport gå tillbaka senare ett internt har inträffat
     filen finns logga in session utgått tjänsten är otillgänglig begärda
+    order used properly correctly its which that who how those as were would should might very just now only also more most other all each both own same than because during into through about out off over under
+    process automatic automatically accessing access encountered complete completed completing isn't aren't wasn't weren't hasn't haven't shouldn't come comes got get gets make sure need needs allow allows contain contains
+    nginx apache tomcat iis cloudflare lighttpd jetty httpd misconfiguration resource resources module portal form gallery dashboard map player widget
     viewing site's log logs use using keep signed desk rights reserved all persist quoted reference ref id there map existed ever here nothing yet stopped responding response responded unexpected exception occurred upstream answer time available unavailable any oväntat inträffade while went""".split()
     )
 )
 
-# How unfilled fields are marked.
-_FIELD = r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9_. -]{1,48}"
-_ASKS = r"(?:insert|enter|add|fill in|type|your|bitte|fyll i|ange|skriv|hier)"
+# How unfilled fields are marked: what opens and closes them, and what stands between.
+_NAME = r"[^\W\d_][\w .'-]*"
+#: What template languages hold between their marks: a name, then perhaps filters, arguments or a condition.
+_HELD = r"[^{}%<>\n]*[^\W\d_][^{}%<>\n]*"
+_ASKS = r"(?:insert|enter|add|fill in|type|your|describe|specify|choose|select|bitte|fyll i|ange|skriv|hier)"
+_ASKS_LAST = r"(?:here|eintragen|einfügen|einsetzen|ergänzen|angeben|ausfüllen|här)"
 #: Each pattern with the characters without which it cannot occur.
 MARKS = tuple(
     (needle, re.compile(p))
     for needle, p in (
-        ("{{", rf"\{{\{{\s*{_FIELD}\s*\}}\}}"), ("{%", rf"\{{%\s*{_FIELD}\s*%\}}"), ("<%", rf"<%=?\s*{_FIELD}\s*%>"), ("#{", rf"#\{{\s*{_FIELD}\s*\}}"), ("<<", rf"<<\s*{_FIELD}\s*>>"),
-        ("@@", r"(?<!@)@@[A-Za-z]\w{2,40}@@"), ("$$", r"(?<!\$)\$\$[A-Za-z]\w{2,40}\$\$"), ("__", r"(?<!\w)__[A-Z][A-Z_]{1,40}[A-Z]__(?!\w)"), ("%", r"(?<![\w%])%[A-Za-z][A-Za-z_]{2,40}%(?!\w)"),
-        ("[", rf"(?i)\[\s*{_ASKS}\s[A-Za-zÀ-ÿ_ ]{{2,48}}\]"), ("<", rf"(?i)<\s*{_ASKS}\s[A-Za-zÀ-ÿ_ ]{{2,48}}>"),
+        ("{{", rf"(?<!\$)\{{\{{(?![^{{}}\n]*\":){_HELD}\}}\}}"), ("{%", rf"\{{%{_HELD}%\}}"), ("<%", rf"<%{_HELD}%>"), ("#{", rf"#\{{\s*{_NAME}\s*\}}"), ("<<", rf"<<\s*{_NAME}\s*>>"), ("[[", r"\[\[\s*[^\W\d_]\w+\s*\]\]"),
+        ("@@", r"(?<!@)@@[A-Za-z]\w{2,}@@"), ("$$", r"(?<!\$)\$\$[A-Za-z]\w{2,}\$\$"), ("__", r"(?<!\w)__[A-Z][A-Z_]+[A-Z]__(?!\w)"), ("%", r"(?<![\w%])%[A-Za-z][A-Za-z_]{2,}%(?!\w)"),
+        ("[", rf"(?i)\[\s*{_ASKS}\s[A-Za-zÀ-ÿ_ ]{{2,}}\]"), ("<", rf"(?i)<\s*{_ASKS}\s[A-Za-zÀ-ÿ_ ]{{2,}}>"), ("[", rf"(?i)\[[A-Za-zÀ-ÿ_ ]+\s{_ASKS_LAST}\s*\]"),
     )
 )
 _UPPER_MARK = re.compile(r"(?<![\w\]])\[([A-Z]{3,}(?:[ _][A-Z]{3,}){0,3})\](?![\w(\[])")
+#: What letters and forms ask for; a bracket that ends with one of them, or begins with one before ``of``, is a field.
+_ASKED = r"(?:name|surname|nachname|vorname|namn|efternamn|förnamn|date|datum|address|adresse|adress|street|city|ort|stadt|code|plz|phone|telefon|e-?mail|company|firma|företag|title|titel|position|signature|unterschrift|recipient|empfänger|sender|client|customer|kunde|kund|author|amount|betrag|belopp|number|nummer)"
+_LETTER_MARK = re.compile(rf"(?<![\w\]])\[((?i:(?:[^\W\d_]+[ -]){{0,3}}{_ASKED}|{_ASKED} of(?: [^\W\d_]+){{1,4}}))\](?![\w(\[])")
 _BRACE_MARK = re.compile(r"(?<![\w$#{\"'%])\{([A-Za-z][a-z]+(?:_[a-z]+)*|[A-Z]+(?:_[A-Z]+)*)\}(?![}\w\"'])")
-_DOLLAR_MARK = re.compile(r"(?<![\"'=/\w:])\$\{([A-Za-z]\w{2,40})\}(?![\"'/\w])")
+_DOLLAR_MARK = re.compile(r"(?<![\"'=/\w:])\$\{([A-Za-z]\w{2,}|[A-Za-z]\w*(?:\.[A-Za-z]\w*)+)\}(?![\"'/\w])")
+_BRACKETED = re.compile(r"\[([^\[\]\n]*)\]")
+_ASKABLE = re.compile(r"[^\d.:/=,;\"'(){}<>]{3,}$")
 _LEVEL = re.compile(r"(?i)(?:info|warn|warning|err|error|debug|trace|notice|fatal|critical|crit|emergency|alert|time)\s*")
 #: Sentences that speak about a field instead of holding an unfilled one.
-_SPEAKS_OF = re.compile(r"(?i)\b(?:template|exporter|importer|placeholder|platshållare|platzhalter|vorlage|mall(?:en)?)\b.*\b(?:fill|replac|resolv|correct|work|erset|fyll|gefüllt)")
+_SPEAKS_OF = re.compile(r"(?i)(?=.*\b(?:template|exporter|importer|placeholder|platshållare|platzhalter|vorlage|mall(?:en)?)\b).*(?:\bfill|replac|resolv|\bcorrect|\bwork|erset|fyll|gefüllt|\bfix|\bleft\b|instead)")
 
 # Filler text.
 LATIN = frozenset(
@@ -82,7 +97,11 @@ LATIN = frozenset(
     excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum""".split()
 )
 LATIN_SURE = frozenset(w for w in LATIN if len(w) > 4) - {"labore"} | {"amet", "elit"}
-_SUBJECT = r"[A-Za-zÀ-ÿ_ ]{2,40}"
+_SUBJECT = r"[A-Za-zÀ-ÿ_ ]{2,}"
+#: What filler stands for, and what it calls itself.
+_TEXT = r"(?:text|content|description|title|subtitle|headline|heading|summary|message|paragraph|copy|caption|introduction|conclusion|abstract|details)"
+_SELF = r"(?:dummy|sample|placeholder|filler|example|blind)"
+_MASH = r"(?:asdf|qwert[yz]|test|text|bla|blah|foo|abc|xyz|dummy|lorem)"
 #: Each pattern with characters (lower case) of which it holds one at least wherever it matches.
 FILLERS = tuple(
     (needles, re.compile(p))
@@ -95,9 +114,17 @@ FILLERS = tuple(
         (("sample ", "example ", "dummy ", "placeholder "), rf"(?i)(?:sample|example|dummy|placeholder) {_SUBJECT} (?:text|entry|content)(?:\s*[-–,:]\s*(?:replace|remove|change|overwrite)(?: {_SUBJECT})?)?"), (("text",), rf"(?i)(?:(?:lead|first|second|third|fourth|next|last|more) text,?\s*(?:and )?){{2,}}(?:for {_SUBJECT})?"),
         (("test ", "dummy ", "sample "), rf"(?i)(?:test|dummy|sample) (?:entry|record|row|text) (?:for|of) {_SUBJECT}(?:, (?:ignore|please ignore|do not use))?"), (("fill ", "fyll i", "ausfüllen"), rf"(?i)(?:fill (?:me |this )?in|fyll i|ausfüllen|bitte ausfüllen)\s*:\s*{_SUBJECT}"), (("text",), rf"(?i)texte?n? (?:om|för|till|zu) {_SUBJECT} (?:kommer|skrivs|står|folgt|kommt)(?: (?:här|hier|snart|senare|später))+"),
         (("text", "bla", "xyz"), r"(?i)(?:(?:text|blah|bla|xyz)[,.;\s]*){3,}"), (("tbd", "tba", "to be ", "coming soon", "xxx", "text"), rf"(?i)(?:{_SUBJECT}:\s*)?(?:tbd|tba|to be (?:added|written|completed|filled in|determined)|coming soon|xxx+|blindtext|platshållartext|exempeltext)"), ((" here",), rf"(?i)type (?:your )?{_SUBJECT} here"), (("click here to ",), rf"(?i)click here to (?:add|edit|enter) {_SUBJECT}"),
+        (("add ", "insert ", "enter ", "type ", "write ", "put ", "place ", "paste "), rf"(?i)(?:please )?(?:add|insert|enter|type|write|put|place|paste) (?:[a-zà-ÿ]+ ){{0,3}}{_TEXT}(?: (?:here|below|in this box|about {_SUBJECT}))*"), (("write ",), rf"(?i)write something (?:about|on) {_SUBJECT}"),
+        ((" here",), rf"(?i)(?:(?:your|the|some|more) )?(?:[a-zà-ÿ]+ )?{_TEXT} (?:(?:goes|comes|belongs|will appear|should go) )?here"), (("placeholder", "sample", "dummy", "filler", "example"), rf"(?i)(?:this|the following|that)(?: {_TEXT})? is (?:only |just |merely )?(?:an? |some )?{_SELF}(?: {_TEXT}| entry)?(?: {_SUBJECT})?"),
+        (("placeholder", "sample", "dummy", "filler", "example"), rf"(?i){_SELF} (?:{_TEXT}|entry|record|row)(?:\s*[-–,:.]\s*(?:(?:please|to be|must be|will be) )?(?:replace|delete|remove|ignore|overwrite|change)d?(?: {_SUBJECT})?)?"), (("click ", "tap "), rf"(?i)(?:click|tap|double-click)(?: here)? to (?:add|edit|enter|insert) (?:{_TEXT}|{_SUBJECT})"),
+        (("asdf", "qwert", "test", "text", "bla", "foo", "abc", "xyz", "dummy", "lorem"), rf"(?i)({_MASH})(?:[\s,.;/-]+\1){{2,}}"), ((" to follow", " soon", "folgt", "kommer"), rf"(?i)(?:{_TEXT}|inhalt|beschreibung|innehåll|beskrivning)(?: is| will be| are)? (?:to follow|(?:coming|available) soon|folgt(?: in kürze| später| noch)?|kommer(?: snart| senare)?)"),
+        (("platzhaltertext", "blindtext", "platshållartext", "exempeltext", "fülltext", "utfyllnadstext"), r"(?i)(?:platzhaltertext|blindtext|platshållartext|exempeltext|fülltext|utfyllnadstext)"), (("tbd", "tba", "to be "), rf"(?i)(?:{_SUBJECT}[:\s–-]+)?(?:tbd|tba)?[\s–-]*to be (?:added|written|completed|filled in|determined|announced|supplied)(?: {_SUBJECT})?"),
+        (("lägg ", "skriv", "infoga", "fyll i"), r"(?i)(?:lägg till|skriv|infoga|fyll i) (?:din |en |ett )?(?:text|texten|beskrivning|rubrik|innehåll)(?: här)?"), (("här ",), r"(?i)här (?:ska|skall) (?:det )?(?:stå|komma) (?:en )?(?:text|beskrivning)"), (("text", "beschreibung", "inhalt", "titel"), r"(?i)(?:hier )?(?:bitte )?(?:text|beschreibung|inhalt|titel) (?:hier )?(?:einfügen|eingeben|eintragen|ergänzen)"),
+        (("lorem ipsum",), r"(?i)lorem ipsum(?: dolor)?"),
     )
 )
 FILLER_NEEDLES = tuple(dict.fromkeys(n for needles, _ in FILLERS for n in needles))
+_BY_NEEDLE = {n: tuple(i for i, (needles, _) in enumerate(FILLERS) if n in needles) for n in FILLER_NEEDLES}
 
 _TAG = re.compile(r"(?i)</?(?:html|head|title|body|h[1-6]|p|br|div|span|a|ul|li|b|i|center|hr|noscript)(?:\s[^<>]*)?/?>")
 _SPECIAL = re.compile(r"<\|[a-z_]+\|>|</?s>|\x1b\[[0-9;]*m|={6,}")
@@ -114,8 +141,14 @@ _ALONE = frozenset("error errors fehler fel http status gateway load request req
 _WEAK = frozenset("error errors fehler fel http status gateway load request requests exist exists nothing".split())
 _QUALIFIERS = frozenset("bad too many internal interner internt unexpected timeout time-out out here not".split())
 _PLAIN = frozenset("denied forbidden unauthorized unavailable refused unable permission verweigert existiert hittas hittades behörighet exception login".split())
+#: Something of the web that is not there: one word of each list.
+_NEGATIONS = frozenset("not no cannot can't couldn't isn't wasn't aren't doesn't longer nicht kein keine keinen inte ingen never".split())
+_REACHED = frozenset("available found exist exists reach reached reachable displayed loaded open opened authorized allowed verfügbar gefunden erreichbar gefunden berechtigt tillgänglig tillgängligt hittas hittades hitta behörig".split())
+_OF_THE_WEB = frozenset("page pages site website server url address link content document documents resource application app service portal view viewer seite seiten inhalt dienst anwendung adresse sida sidan sidor webbplats webbplatsen innehåll tjänsten tjänst adressen".split())
+#: Who says something reports on it.
+_SAYING = frozenset("said says asked complained reported told wrote stated mentioned noticed informed sagte meldete berichtete sade berättade frågade anmälde".split())
 #: Only lines with one of these words, or a number like a status, can be evidence.
-_EVIDENCE_KEYS = SCRIPT_WORDS | ERROR_WORDS
+_EVIDENCE_KEYS = SCRIPT_WORDS | ERROR_WORDS | _REACHED
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STATUS_NUMBER = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CODE_LIKE = re.compile(r"[{};=<>\\]|[A-Za-z]\.[A-Za-z]|\d\d:\d\d")
@@ -148,12 +181,16 @@ def normal(line: str) -> str:
 
 def holds_field(text: str) -> bool:
     """Whether a text holds an unfilled field."""
-    if not any(c in text for c in "{[<@$%_"):
-        return False
-    found = [m for needle, p in MARKS if needle in text for m in p.finditer(text)]
-    found += [m for m in _UPPER_MARK.finditer(text) if not _LEVEL.fullmatch(m.group(1))]
-    # a variable that the text itself assigns is code
-    found += [m for p in (_BRACE_MARK, _DOLLAR_MARK) for m in p.finditer(text) if not re.search(rf"(?m)^\s*(?:export\s+)?{re.escape(m.group(1))}=", text)]
+    found = []
+    # most brackets of logs and code hold digits, levels or dotted names: only others are looked at
+    bracketed = "[" in text and any(_ASKABLE.match(x) and not _LEVEL.fullmatch(x) for x in set(_BRACKETED.findall(text)))
+    for needle, pattern in MARKS:
+        if needle in text and (needle != "[" or bracketed):
+            found += pattern.finditer(text)
+    if bracketed:
+        found += [m for p in (_UPPER_MARK, _LETTER_MARK) for m in p.finditer(text) if not _LEVEL.fullmatch(m.group(1))]
+    if "{" in text:  # a variable that the text itself assigns is code
+        found += [m for p in (_BRACE_MARK, _DOLLAR_MARK) for m in p.finditer(text) if not re.search(rf"(?m)^\s*(?:export\s+)?{re.escape(m.group(1))}=", text)]
     for mark in found:
         start = max(text.rfind("\n", 0, mark.start()), text.rfind(". ", 0, mark.start())) + 1
         ends = [e for e in (text.find("\n", mark.end()), text.find(". ", mark.end())) if e >= 0]
@@ -167,19 +204,33 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").lower()
 
 
-def is_filler(line: str) -> bool:
-    """Whether a line is filler: filler Latin, or a sentence that only stands for one to come."""
-    words = [w.lower() for w in _WORD.findall(line)]
-    latin = [w for w in words if w in LATIN]
-    sure = {w for w in latin if w in LATIN_SURE}
-    if len(latin) >= 4 and len(sure) >= 2 and 2 * len(latin) >= len(words):
-        return True
-    if len(latin) >= 8 and len(sure) >= 4:
-        return True
-    parts = [x.strip(" .!?…:;\"'»«*#-") for x in dict.fromkeys((line, *_SENTENCE.split(line)))]
+_FRAME = re.compile(r"(?i)^(?:x{3,}[\s:-]+)+(?=\S*[^\Wx_])|(?:[\s:-]+x{3,})+$")
+
+
+def _bare(part: str) -> list[str]:
+    """A sentence without marks around it, and also without crosses around it."""
+    part = part.strip(" .!?…:;\"'»«*#-")
+    return [part, _FRAME.sub("", part).strip(" .!?…:;\"'»«*#-[]")] if part[:1] in "xX" or part[-1:] in "xX" else [part]
+
+
+def is_filler(line: str, needles: tuple[str, ...] = FILLER_NEEDLES, latin: bool = True) -> bool:
+    """Whether a line is filler: filler Latin, or a sentence that only stands for one to come.
+
+    ``needles`` are those that may occur in the line, ``latin`` says whether
+    filler Latin may.
+    """
+    if latin:
+        words = [w.lower() for w in _WORD.findall(line)]
+        known = [w for w in words if w in LATIN]
+        sure = {w for w in known if w in LATIN_SURE}
+        if len(known) >= 4 and len(sure) >= 2 and 2 * len(known) >= len(words) or len(known) >= 8 and len(sure) >= 4:
+            return True
     low = folded(line)
-    possible = [p for needles, p in FILLERS if any(n in low for n in needles)]
-    return any(p.fullmatch(part) for part in parts for p in possible)
+    possible = sorted({i for n in needles if n in low for i in _BY_NEEDLE[n]})
+    if not possible:
+        return False
+    parts = [p for x in dict.fromkeys((line, *_SENTENCE.split(line))) for p in _bare(x)]
+    return any(FILLERS[i][1].fullmatch(part) for part in parts for i in possible)
 
 
 def judge(line: str) -> str:
@@ -214,43 +265,67 @@ def _judge_piece(piece: str, line: str) -> str:
     joined = rest.lower()
     script = held & SCRIPT_WORDS or "java script" in joined or "client-side script" in joined or "active script" in joined
     errors = held & ERROR_WORDS
+    absent = held & _NEGATIONS and held & _REACHED and held & _OF_THE_WEB
+    if held & _SAYING:
+        return "content"
     if words and strange == 0:
         if script and held & REQUIRE_WORDS:
             return "script"
-        if numbered or errors and (len(words) > 1 or errors - _ALONE) and (errors - _WEAK or held & _QUALIFIERS):
+        if numbered or absent or errors and (len(words) > 1 or errors - _ALONE) and (errors - _WEAK or held & _QUALIFIERS):
             return "error"
         if len(words) > 1:
             return "advice"
-    elif strange == 1 and len(known) >= 3:  # one noun may be any
-        if script and held & REQUIRE_WORDS:
+    elif len(known) >= 3:
+        # nouns may be any, one in a short piece, more in a long one or where the reader is spoken to
+        spoken_to = held & {"please", "your", "you", "bitte", "ihr", "ihrem", "ihren", "sie", "din", "du", "vänligen"}
+        few = strange <= 1 + len(words) // 8
+        if script and held & REQUIRE_WORDS and strange <= (2 + len(words) // 6 if spoken_to else 1):
             return "script"
-        if numbered or errors & _PLAIN or errors and ("sorry" in held or errors - _WEAK and len(known) >= 6):
+        if few and (numbered or errors & _PLAIN or absent or errors and ("sorry" in held or errors - _WEAK and len(known) >= 6)):
             return "error"
     ended = line.rstrip().endswith((".", "!", "?", "。", ";"))
     return "fragment" if len(words) <= 6 and len(piece) <= 60 and not (ended and len(words) > 3) else "content"
 
 
+#: All ASCII characters that are no letters as blanks.
+_TO_BLANKS = {c: " " for c in range(128) if not chr(c).isalpha()}
+
+
+def _letter_runs(low: str) -> set[str]:
+    return set(low.translate(_TO_BLANKS).split()) if low.isascii() else set(_LETTERS.findall(low))
+
+
 def examine(tidy: str, lines: list[str]) -> tuple[str, list[str]]:
     """``field``, ``filler`` or nothing for a whole text, and the kinds of its lines."""
     kinds = ["line"] * len(lines)
     if holds_field(tidy):
         return "field", kinds
     low = folded(tidy)
-    held = set(_LETTERS.findall(low))
-    evidence = held & _EVIDENCE_KEYS
-    filler = held & LATIN_SURE | {n for n in FILLER_NEEDLES if n in low}
-    if filler and any(is_filler(line) for line in lines if _holds(line, filler)):
-        return "filler", kinds
-    if evidence or _STATUS_NUMBER.search(tidy):
-        for line in lines:
-            if (_holds(line, evidence) or _STATUS_NUMBER.search(line)) and judge(line) in ("script", "error"):
+    held = _letter_runs(low)
+    evidence = tuple(held & _EVIDENCE_KEYS)
+    needles = tuple([n for n in FILLER_NEEDLES if n in low])
+    latin = tuple(held & LATIN_SURE)
+    numbered = _STATUS_NUMBER.search(tidy) is not None
+    if not (needles or latin or evidence or numbered):
+        return "", kinds
+    lows = [folded(line) for line in lines]
+    if needles or latin:
+        for line, small in zip(lines, lows, strict=True):
+            in_latin = _holds(small, latin)
+            if (in_latin or _holds(small, needles)) and is_filler(line, needles, in_latin):
+                return "filler", kinds
+    if evidence or numbered:
+        for line, small in zip(lines, lows, strict=True):
+            if (_holds(small, evidence) or numbered and _STATUS_NUMBER.search(line)) and judge(line) in ("script", "error"):
                 return "", [judge(x) for x in lines]
     return "", kinds
 
 
-def _holds(line: str, words: set[str]) -> bool:
-    low = folded(line)
-    return any(w in low for w in words)
+def _holds(low: str, words: tuple[str, ...]) -> bool:
+    for w in words:  # noqa: SIM110
+        if w in low:
+            return True
+    return False
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("text_hash", pa.int64()), ("line_hash", pa.int64()), ("kind", pa.string())])
@@ -330,5 +405,10 @@ def found_residue(documents: DataFrame) -> DataFrame:
 
 
 def remaining_corpus(documents: DataFrame) -> DataFrame:
-    """The documents that are not excluded, all their columns."""
-    return documents.join(found_residue(documents), "doc_id", "left_anti")
+    """The documents that are not excluded, all their columns.
+
+    Where the excluded ids are few enough to be broadcast the texts stay where
+    they are; beyond that both sides meet by id.
+    """
+    found = found_residue(documents).where("doc_id is not null").checkpoint()
+    return documents.join(small(found, MOST_BROADCAST), "doc_id", "left_anti")
