@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from logweave.functions.joins import salted
+from logweave.session import ensure_checkpoint_dir
 
 
 def metric_lines(text: Column) -> Column:
@@ -93,16 +98,29 @@ def _grams(words: Column, n: int) -> Column:
     return out
 
 
-def ngrams(text: Column, n: int) -> Column:
-    return _grams(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), n)
+def text_words(text: Column) -> Column:
+    """Lower-case words of letters and digits, in order."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """Stems of lists of words; words of up to three letters stay."""
+    return words.map(lambda ws: None if ws is None else [_stem(w) if len(w) > 3 else w for w in ws])
 
 
-def ngram_overlap(pairs: DataFrame, n: int) -> DataFrame:
-    """N-gram precision, recall and F1 of (id, target, predicted) texts by multiset overlap."""
-    side = lambda c: pairs.select("id", F.explode(ngrams(F.col(c), n)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias(c))
+def ngram_overlap(pairs: DataFrame, n: int, stem: bool = False) -> DataFrame:
+    """N-gram precision, recall and F1 of (id, target, predicted) texts by multiset overlap, of words or of their stems.
+
+    Null texts count as empty; an undefined ratio is 0.
+    """
+    words = lambda c: stems(text_words(F.coalesce(F.col(c), F.lit("")))) if stem else text_words(F.coalesce(F.col(c), F.lit("")))
+    read = pairs.select("id", words("target").alias("target"), words("predicted").alias("predicted"))
+    side = lambda c: read.select("id", F.explode(_grams(F.col(c), n)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias(c))
     t, p = side("target"), side("predicted")
     shared = t.join(p, ["id", "gram"]).groupBy("id").agg(F.sum(F.least("target", "predicted")).alias("shared"))
-    sizes = pairs.select("id", F.size(ngrams(F.col("target"), n)).alias("nt"), F.size(ngrams(F.col("predicted"), n)).alias("np")).join(shared, "id", "left").select("id", "nt", "np", F.coalesce("shared", F.lit(0)).alias("s"))
+    size = lambda c: F.greatest(F.size(c) - (n - 1), F.lit(0))
+    sizes = read.select("id", size("target").alias("nt"), size("predicted").alias("np")).join(shared, "id", "left").select("id", "nt", "np", F.coalesce("shared", F.lit(0)).alias("s"))
     precision, recall = F.coalesce(F.try_divide("s", "np"), F.lit(0.0)), F.coalesce(F.try_divide("s", "nt"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
     return sizes.select("id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
@@ -130,7 +148,7 @@ def rouge_l(pairs: DataFrame, stem: bool = False) -> DataFrame:
 
     def words(text: str | None) -> list[str]:
         found = _WORD.findall((text or "").lower())
-        return [porter_stem(w) for w in found] if stem else found
+        return [_stem(w) if len(w) > 3 else w for w in found] if stem else found
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,6 +235,11 @@ def porter_stem(word: str) -> str:
     return word
 
 
+@lru_cache(maxsize=100_000)
+def _stem(word: str) -> str:
+    return porter_stem(word)
+
+
 def retrieval(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Recall and precision of retrieved chunks (id, chunk) against relevant ones; repeated chunks count once."""
     both = relevant.select("id", "chunk").distinct().withColumn("r", F.lit(1)).join(retrieved.select("id", "chunk").distinct().withColumn("g", F.lit(1)), ["id", "chunk"], "full")
@@ -225,51 +248,56 @@ def retrieval(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.count("r").alias("n_relevant"), F.count("g").alias("n_retrieved"), part("r").alias("recall"), part("g").alias("precision"))
 
 
-def consume_words(target: str, lines: list[str]) -> tuple[int, int]:
-    """Words of a target that the lines use up, and all its words.
+def consume_words(target: str, lines: list[str]) -> tuple[int, int, int, int]:
+    """Characters and words of a target that the lines use up, each with how many there are: (chars, all chars, words, all words).
 
-    Each word of each line removes one `` word `` with both its blanks from
-    the target, in order: neighbours of a removed word grow together and are
-    no longer found.
+    Each word of each line, in order, removes every `` word `` with both its
+    blanks from the target: neighbours of a removed word grow together and
+    are no longer found.  Words are what blanks and line ends part.
     """
-    rest = f" {' '.join(target.split())} "
-    total, used = len(target.split()), 0
+    count = lambda text: sum(1 for w in text.replace("\n", " ").split(" ") if w)
+    rest = target
     for line in lines:
-        for word in line.split():
-            at = rest.find(f" {word} ")
-            if at >= 0:
-                rest = rest[:at] + rest[at + len(word) + 2 :]
-                used += 1
-    return used, total
+        for word in line.split(" "):
+            rest = rest.replace(f" {word} ", "")
+    return len(target) - len(rest), len(target), count(target) - count(rest), count(target)
 
 
 def generated_recall(reference: list[str], generated: list[str]) -> tuple[float, float, float]:
     """Recall of characters, words and lines of a reference in generated lines.
 
-    Each word of a generated line serves one word of each reference line; a
-    reference line is hit if a generated line is part of it.  Blank lines
-    count on neither side; without a reference all are 0.
+    Generated lines are read in order for each reference line: a word counts
+    wherever it stands in the reference line, and the first generated line
+    that is part of the reference line is a hit and the last one read.  Words
+    are compared as they are, letter case included.  Blank lines count on
+    neither side; without a reference all are 0.
     """
-    said = [line for line in generated if line.strip()]
-    lines = [line for line in reference if line.strip()]
+    said = [line.strip() for line in generated if line.strip()]
+    first: dict[str, int] = {}
+    for place, line in enumerate(said):
+        for word in line.split(" "):
+            first.setdefault(word, place)
+    lines = [line.strip() for line in reference if line.strip()]
     chars = words = hits = all_chars = all_words = 0
-    pool = [w for line in said for w in line.lower().split()]
     for line in lines:
-        left = list(pool)
-        for word in line.lower().split():
+        hit = next((place for place, s in enumerate(said) if s in line), None)
+        hits += hit is not None
+        for word in line.split(" "):
+            if not word:
+                continue
             all_words += 1
             all_chars += len(word)
-            if word in left:
-                left.remove(word)
+            place = first.get(word)
+            if place is not None and (hit is None or place <= hit):
                 words += 1
                 chars += len(word)
-        hits += any(s.strip() in line for s in said)
     return (chars / all_chars if all_chars else 0.0), (words / all_words if all_words else 0.0), (hits / len(lines) if lines else 0.0)
 
 
 def text_recall(pairs: DataFrame) -> DataFrame:
     """``consume_words`` and ``generated_recall`` of (id, target, predicted) texts."""
     kind = dict(pairs.dtypes)["id"]
+    columns = ["id", "used_chars", "chars", "used_words", "words", "char_recall", "word_recall", "line_recall"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -277,9 +305,11 @@ def text_recall(pairs: DataFrame) -> DataFrame:
             for key, target, predicted in batch.itertuples(index=False):
                 t, p = (target or "").split("\n"), (predicted or "").split("\n")
                 rows.append((key, *consume_words(target or "", p), *generated_recall(t, p)))
-            yield pd.DataFrame(rows, columns=["id", "used", "words", "char_recall", "word_recall", "line_recall"])
+            yield pd.DataFrame(rows, columns=columns)
 
-    return pairs.select("id", "target", "predicted").mapInPandas(score, f"id {kind}, used bigint, words bigint, char_recall double, word_recall double, line_recall double")
+    return pairs.select("id", "target", "predicted").mapInPandas(
+        score, f"id {kind}, used_chars bigint, chars bigint, used_words bigint, words bigint, char_recall double, word_recall double, line_recall double"
+    )
 
 
 def keyword_counts(texts: DataFrame, text: str, keywords: tuple[str, ...]) -> DataFrame:
@@ -302,44 +332,80 @@ def density(values: DataFrame, column: str, low: float, high: float, points: int
     return grid.groupBy("x").agg(F.sum(F.col("n") * weight).alias("density"))
 
 
-def _inner_grams(text: Column, n: int) -> Column:
-    """Runs of up to ``n`` words of a line without its first and last word, which a longer text may continue."""
-    words = F.split(text, " ")
+def _characters(word: Column, n: int) -> Column:
+    """Runs of one to ``n`` characters of a word, in time that follows its length."""
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in range(1, n + 1)])))
+
+
+def _inner_words(line: Column, n: int) -> Column:
+    """Runs of ``n`` words, or of all if fewer, of a line without its first and last word, which a longer text may continue."""
+    words = F.split(line, " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     out = _grams(inner, n)
     for k in range(n - 1, 0, -1):
         out = F.when(F.size(inner) <= k, _grams(inner, k)).otherwise(out)
-    return out
+    return F.array_distinct(out)
 
 
-def _all_grams(text: Column, n: int) -> Column:
+def _all_words(text: Column, n: int) -> Column:
     """Runs of one to ``n`` words of a text."""
     words = F.split(text, " ")
     return F.array_distinct(F.flatten(F.array(*[_grams(words, k) for k in range(1, n + 1)])))
 
 
-def longest_contained(texts: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
-    """Per text (id, text) the length of the longest of all ``lines`` (line) that is part of it: (id, covered).
-
-    A substring join without comparing all pairs: a line can only be part of
-    a text that holds all its inner runs of words, so each line is looked up
-    by its rarest run among the texts, and only those pairs are compared
-    character by character.  Lines of one or two words have no inner run and
-    are compared with whole texts and their pairs of words; a text that
-    contains no line has no row.
+def _rarest(own: DataFrame, held: DataFrame, keys: list[str], holder: str) -> DataFrame:
+    """Per row of ``own`` (keys, n_own, gram) the gram that the fewest of ``held`` (holder, gram) have; none where one of its grams is not held at all."""
+    counts = held.groupBy("gram").agg(F.count(holder).alias("n_held"))
+    found = own.join(counts, "gram").groupBy(*keys).agg(F.count("*").alias("n_found"), F.max("n_own").alias("n_own"), F.min(F.struct("n_held", "gram")).alias("least"))
+    return found.where(F.col("n_found") >= F.col("n_own")).select(*keys, F.col("least.gram").alias("gram"))
+
+
+def containments(texts: DataFrame, lines: DataFrame, n: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """Every pair of a text (id, text) and a line (line) that is part of it: (id, line), each once; of equal ``also`` columns only.
+
+    A substring join without comparing all pairs.  A line of three words or
+    more can only be part of a text that holds all its inner runs of words:
+    it is looked up by the run that the fewest texts hold.  A shorter line
+    can only be part of a text one of whose words holds the line's longest
+    word: that is looked up among the distinct words by its rarest run of
+    characters.  Only pairs found so are compared character by character.
+    Ids, hashes and words are shuffled, neither texts nor lines; these meet
+    their candidates at the end, by id and hash.  Null and empty lines are part of nothing,
+    null texts hold nothing.
     """
-    held = texts.select("id", "text").where("text is not null")
-    grams = held.select("id", "text", F.explode(_all_grams(F.col("text"), n)).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n_texts"))
-    known = lines.select("line").where("line is not null and line <> ''").distinct()
-    long_lines = known.where(F.size(F.split("line", " ")) > 2)
-    own = F.array_distinct(_inner_grams(F.col("line"), n))
-    looked = long_lines.select("line", F.posexplode(own).alias("place", "gram")).join(counts, "gram")
-    # number of texts and place in one number, so that the least is kept by hash aggregation
-    found = looked.groupBy("line").agg(F.count("*").alias("n_found"), F.min(F.shiftleft("n_texts", 20) + F.col("place")).alias("least"))
-    # a run that no text holds rules its line out
-    rarest = found.where(F.col("n_found") == F.size(own)).select("line", F.get(own, (F.col("least") % (1 << 20)).cast("int")).alias("gram"))
-    short = known.where(F.size(F.split("line", " ")) <= 2).select("line", F.col("line").alias("gram"))
-    wanted = rarest.unionByName(short)
-    hits = wanted.join(grams, "gram").where(F.contains("text", F.col("line")))
-    return hits.groupBy("id").agg(F.max(F.length("line")).alias("covered"))
+    ensure_checkpoint_dir(texts.sparkSession)
+    keys = list(also)
+    held = texts.select("id", *keys, "text").where("text is not null")
+    known = lines.select(*keys, "line").where("line is not null and line <> ''").distinct().withColumn("hash", F.md5("line"))
+    several = F.size(F.split("line", " ")) > 2
+    # lines of three words or more
+    own = known.where(several).select(*keys, "hash", _inner_words(F.col("line"), n).alias("own"))
+    own = own.select(*keys, "hash", F.size("own").alias("n_own"), F.explode(F.transform("own", lambda g: F.xxhash64(*keys, g))).alias("gram"))
+    grams = held.select("id", F.explode(F.transform(_all_words(F.col("text"), n), lambda g: F.xxhash64(*keys, g))).alias("gram"))
+    grams = grams.join(own.select("gram").distinct(), "gram", "left_semi").checkpoint()  # only runs that some line has
+    candidates = salted(grams, _rarest(own, grams, [*keys, "hash"], "id"), ["gram"], "id", how="inner").select("id", *keys, "hash")
+    # lines of one or two words, by their longest word
+    longest = F.reduce(F.split("line", " "), F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    short = known.where(~several).select(*keys, "hash", longest.alias("part"))
+    if short.limit(1).count():
+        words = held.select("id", *keys, F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+        of_words = words.select("word").distinct().select("word", F.md5("word").alias("word_hash"))
+        runs = of_words.select("word_hash", F.explode(_characters(F.col("word"), n)).alias("gram"))
+        parts = short.select("part").distinct().where("part <> ''")
+        own_runs = F.array_distinct(F.regexp_extract_all("part", F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+        own = parts.select(F.md5("part").alias("part_hash"), F.when(F.length("part") < n, F.array("part")).otherwise(own_runs).alias("own"))
+        own = own.select("part_hash", F.size("own").alias("n_own"), F.explode("own").alias("gram"))
+        runs = runs.join(own.select("gram").distinct(), "gram", "left_semi")
+        pairs = salted(runs, _rarest(own, runs, ["part_hash"], "word_hash"), ["gram"], "word_hash", how="inner").select("part_hash", "word_hash")
+        pairs = pairs.join(of_words, "word_hash").join(parts.withColumn("part_hash", F.md5("part")), "part_hash").where(F.contains("word", F.col("part"))).select("part", "word")
+        of_lines = short.join(pairs, "part").select(*keys, "hash", "word")
+        # a line of blanks alone may stand in any text that holds blanks
+        blank = short.where("part = ''").select(*keys, "hash", F.lit("").alias("word"))
+        spaced = held.where(F.contains("text", F.lit(" "))).select("id", *keys, F.lit("").alias("word"))
+        candidates = candidates.unionByName(words.where("word <> ''").unionByName(spaced).join(of_lines.unionByName(blank), [*keys, "word"]).select("id", *keys, "hash"))
+    return candidates.distinct().join(known, [*keys, "hash"]).join(held, ["id", *keys]).where(F.contains("text", F.col("line"))).select("id", *keys, "line")
+
+
+def longest_contained(texts: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
+    """Per text (id, text) the length of the longest of all ``lines`` (line) that is part of it: (id, covered); a text that contains none has no row."""
+    return containments(texts, lines, n).groupBy("id").agg(F.max(F.length("line")).alias("covered"))

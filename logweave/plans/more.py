@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.paths import path_unit, same_path
 from logweave.operators import catalog, metrics, records
-from logweave.plans.metrics import all_texts
+from logweave.plans.metrics import texts
 from logweave.session import ship, table
 
 
@@ -44,8 +44,8 @@ def marker_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts of events, numbers aside."""
-    texts = table(spark, sf_dir, "log_chunks").select(F.explode("content_json").alias("r")).where("r.ts_start is not null").select(F.regexp_replace("r.text", "[0-9]+", "0").alias("text"))
-    return texts.groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
+    found = table(spark, sf_dir, "log_chunks").select(F.explode("content_json").alias("r")).where("r.ts_start is not null").select(F.regexp_replace("r.text", "[0-9]+", "0").alias("text"))
+    return found.groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 
 
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.text_recall(all_texts(ship(spark), sf_dir))
+    return metrics.text_recall(texts(ship(spark), sf_dir))
 
 
 def keyword_presence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,8 +174,11 @@ def test_metrics(spark):
         "caress", "poni", "cat", "agre", "plaster", "motor", "hop", "happi", "relat", "ration", "electr", "hope", "adjust", "control", "rate", "sky", "is",
     ]
     assert metrics.common_subsequence("a b c d".split(), "b x d a".split()) == 2
-    assert metrics.consume_words("a b c", ["b", "a c"]) == (1, 3)  # removing b glues its neighbours
+    assert metrics.consume_words("a b c", ["b", "a c"]) == (3, 5, 2, 3)  # removing b glues its neighbours
+    assert metrics.consume_words("x a y a z", ["a"]) == (6, 9, 4, 5) and metrics.consume_words("", ["a"]) == (0, 0, 0, 0)
     assert metrics.generated_recall([], ["x"]) == (0.0, 0.0, 0.0) and metrics.generated_recall(["ab cd", ""], ["ab"]) == (0.5, 0.5, 1.0)
+    assert metrics.generated_recall(["a a b"], ["a"])[1] == 2 / 3 and metrics.generated_recall(["door"], ["Door"]) == (0.0, 0.0, 0.0)
+    assert metrics.generated_recall(["a b c"], ["", "b c", "a"]) == (2 / 3, 2 / 3, 1.0)  # nothing is read behind a hit
     pairs = spark.createDataFrame([(1, "a b c", "a b d"), (2, "", "x"), (3, None, None)], "id int, target string, predicted string")
     assert {r.id: (round(r.precision, 3), round(r.recall, 3)) for r in metrics.rouge_l(pairs).collect()} == {1: (0.667, 0.667), 2: (0.0, 0.0), 3: (0.0, 0.0)}
     got = {r.id: r.recall for r in metrics.ngram_overlap(pairs.where("id < 3"), 2).collect()}
@@ -244,13 +247,20 @@ def test_longest_contained_against_all_pairs(spark):
     rng = random.Random(12)
     word = lambda: rng.choice(["a", "b", "cc", "d1", "fan", ""])
     texts = [(i, " ".join(word() for _ in range(rng.randrange(12)))) for i in range(200)] + [(900, None)]
-    lines = [" ".join(word() for _ in range(rng.randrange(3, 7))) for _ in range(150)] + ["n b cc", "x y z", None, ""]
+    lines = [" ".join(word() for _ in range(rng.randrange(1, 7))) for _ in range(150)] + ["n b cc", "x y z", None, "", "an", "c", " ", "n c", "d1 fan a", "an a", "zz"]
     got = {r.id: r.covered for r in metrics.longest_contained(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     brute = {i: max(len(x) for x in lines if x and x in t) for i, t in texts if t and any(x and x in t for x in lines)}
     assert got == brute
     assert metrics.longest_contained(spark.createDataFrame([], "id int, text string"), spark.createDataFrame([("a b c",)], "line string")).count() == 0
 
 
+def test_stemmed_overlap(spark):
+    pairs = spark.createDataFrame([(1, "The doors were closing, doors closed", "a door closes"), (2, None, "x"), (3, "same same", "same")], "id int, target string, predicted string")
+    assert {r.id: (round(r.precision, 3), round(r.recall, 3)) for r in metrics.ngram_overlap(pairs, 1, stem=True).collect()} == {1: (0.667, 0.333), 2: (0.0, 0.0), 3: (1.0, 0.5)}
+    assert {r.id: r.precision for r in metrics.ngram_overlap(pairs, 2, stem=True).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+    assert {r.id: r.precision for r in metrics.ngram_overlap(pairs, 1).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
 def test_every_reference_text_is_scored(spark, tmp_path):
     """Also those whose transcript is of another day, and those that have none."""
     rows = [(1, "fan hot", "rca", "U1", "2016-01-05 10:00:00"), (2, "door open", "rca", "U1", "2016-01-06 10:00:00"), (3, "no time", "rca", "U1", None), (4, "no unit", "rca", None, "2016-01-05 10:00:00"), (5, "alone", "rca", "U2", "2016-01-05 10:00:00")]
