@@ -124,12 +124,16 @@ def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def collapse_siblings(listing: DataFrame, marked: str) -> DataFrame:
-    """Sorted listings (folder, name) with runs of names that hold ``marked`` as one line: (folder, first_name, n)."""
+    """Sorted listings (folder, name) with runs of names that hold ``marked`` as one line: (folder, first_name, n).
+
+    The sibling that ends a run is not listed.
+    """
     order = W.partitionBy("folder").orderBy("name")
     is_marked = F.contains("name", F.lit(marked))
     numbered = listing.select("folder", "name", is_marked.alias("m"), F.row_number().over(order).alias("n"))
+    placed = numbered.withColumn("ends", ~F.col("m") & F.coalesce(F.lag("m").over(order), F.lit(False)))
     run = F.when(F.col("m"), F.col("n") - F.row_number().over(W.partitionBy("folder", "m").orderBy("name"))).otherwise(-F.col("n"))
-    return numbered.withColumn("run", run).groupBy("folder", "m", "run").agg(F.min("name").alias("first_name"), F.count("*").alias("n")).select("folder", "first_name", "n")
+    return placed.withColumn("run", run).where("not ends").groupBy("folder", "m", "run").agg(F.min("name").alias("first_name"), F.count("*").alias("n")).select("folder", "first_name", "n")
 
 
 def dated_folders(paths: DataFrame, path: str) -> DataFrame:

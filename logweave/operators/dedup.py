@@ -49,25 +49,19 @@ def record_length(ts: Column, text: Column) -> Column:
     return F.coalesce(F.length(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")), F.lit(4)) + F.length(text)
 
 
-_PACKED = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("used", T.LongType()), T.StructField("marks", T.ArrayType(T.IntegerType()))])
-
-
 def packed_chunks(lengths: Column, max_size: int) -> Column:
     """Greedy packing of ordered lengths: the chunk number of each, from 0.
 
     A record joins the chunk while it fits; one that is too long for any
-    chunk stands alone.  The fold runs in the JVM and its state is one chunk
-    number and one size.
+    chunk stands alone.  Arrow batches of whole lists, in time that follows
+    their length; a null list stays null, a null length counts nothing.
     """
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("marks"))
 
-    def step(state: Column, length: Column) -> Column:
-        fits = (state["chunk"] >= 0) & (state["used"] + length <= max_size)
-        chunk = F.when(fits, state["chunk"]).otherwise(state["chunk"] + 1)
-        used = F.when(fits, state["used"] + length).otherwise(length.cast("bigint"))
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(state["marks"], F.array(chunk)).alias("marks"))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def pack(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda sizes: None if sizes is None else pack_sequence([0 if s != s or s is None else int(s) for s in sizes], max_size))
 
-    return F.aggregate(lengths, start, step)["marks"]
+    return pack(lengths)
 
 
 def pack_sequence(sizes: list[int], max_size: int) -> list[int]:

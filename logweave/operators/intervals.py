@@ -33,7 +33,7 @@ def periods_and_gaps(intervals: DataFrame, key: str = "entity", width: int = 6 *
     clean = intervals.select(F.col(key).alias("entity"), "start_us", "end_us").where("entity is not null and start_us is not null and end_us is not null and start_us <= end_us")
     side = lambda at, start: F.struct(F.col(at).alias("at"), F.lit(start).alias("start"), F.lit(1 - start).alias("end"))
     marks = clean.select("entity", F.explode(F.array(side("start_us", 1), side("end_us", 0))).alias("m"))
-    counted = marks.groupBy("entity", F.col("m.at").alias("at")).agg(F.sum("m.start").alias("starts"), F.sum("m.end").alias("ends"))
+    counted = marks.groupBy("entity", F.col("m.at").alias("at")).agg(F.sum("m.start").alias("starts"), F.sum("m.end").alias("ends")).checkpoint()  # read by both parts of the running sums
     ranks = running_sums(counted, ["entity"], "at", {"start_rank": "starts", "end_rank": "ends"}, width)
     opens = (F.col("starts") > 0) & (F.col("start_rank") - F.col("starts") == F.col("end_rank") - F.col("ends"))
     closes = (F.col("ends") > 0) & (F.col("start_rank") == F.col("end_rank"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.operators.metrics import containments
+
 DAY_US = 86_400_000_000
 
 
@@ -20,10 +22,9 @@ def normal_text(text: Column) -> Column:
 
 
 def plain_line(line: Column) -> Column:
-    """Without the time mark, a leading clock time and leading ``- : |``."""
-    bare = F.regexp_replace(line, "<time>", "")
-    bare = F.regexp_replace(bare, r"^\s*\d{2}:\d{2}:\d{2}\s+", "")
-    return F.trim(F.regexp_replace(bare, r"^[\s:|-]+", ""))
+    """Without a leading time mark and then one leading ``-``, ``:`` or ``|``."""
+    bare = F.regexp_replace(F.trim(line), r"^(?i)<time>\s*", "")
+    return F.trim(F.regexp_replace(bare, r"^\s*[-:|]\s*", ""))
 
 
 def line_variants(line: Column, least: int = 4) -> Column:
@@ -37,6 +38,35 @@ def line_shape(line: Column) -> Column:
     return F.regexp_replace(line, r"0x[0-9a-f]+|[0-9]+(\.[0-9]+)?", "#")
 
 
+def score_rows(lines: DataFrame, rows: DataFrame, shapes: bool = False) -> DataFrame:
+    """Ticket rows that quote source lines of their date: result_id, ticket_id, sheet_id, row_no, score, matched_cells.
+
+    ``lines``: result_id, matched_date, line; ``rows``: ticket_id, sheet_id,
+    row_no, matched_dates, cells.  A row quotes a line if a variant of it is
+    part of a cell, or of the cells joined by `` | ``.  The score counts the
+    distinct lines, matched_cells those of each column.  With ``shapes`` lines
+    and cells are compared without their numbers.  Dates meet in an equi-join
+    and lines by their rarest runs of words, not in pairs.
+    """
+    seen = line_shape if shapes else lambda text: text
+    key = F.struct("ticket_id", "sheet_id", "row_no")
+    filled = F.filter("cells", lambda c: c["cell_value"].isNotNull() & (normal_text(c["cell_value"]) != ""))
+    cells = F.transform(filled, lambda c: F.struct(c["col_letter"].alias("col"), seen(normal_text(c["cell_value"])).alias("value")))
+    tidy = rows.select(key.alias("id"), "matched_dates", cells.alias("cells"))
+    bodies = tidy.select("id", F.explode(F.array_distinct("matched_dates")).alias("matched_date"), "cells").dropDuplicates(["id", "matched_date"])
+    texts = bodies.select("id", "matched_date", F.array_join(F.transform("cells", lambda c: c["value"]), " | ").alias("text"))
+    variants = lines.distinct().select("result_id", "matched_date", F.col("line").alias("raw"), F.explode(line_variants(F.col("line"))).alias("line")).withColumn("line", seen(F.col("line"))).distinct()
+    found = containments(texts, variants.select("matched_date", "line"), also=("matched_date",))
+    quoted = found.join(variants, ["matched_date", "line"]).join(bodies, ["id", "matched_date"])
+    hits = quoted.select("result_id", "id", "raw", F.transform(F.filter("cells", lambda c: F.contains(c["value"], F.col("line"))), lambda c: c["col"]).alias("cols"))
+    per_line = hits.groupBy("result_id", "id", "raw").agg(F.array_distinct(F.flatten(F.collect_list("cols"))).alias("cols"))
+    scores = per_line.groupBy("result_id", "id").agg(F.count("*").alias("score"))
+    columns = per_line.select("result_id", "id", F.explode("cols").alias("col")).groupBy("result_id", "id", "col").agg(F.count("*").alias("n")).groupBy("result_id", "id")
+    counted = columns.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "n")))).alias("matched_cells"))
+    none = F.create_map().cast("map<string,bigint>")
+    return scores.join(counted, ["result_id", "id"], "left").select("result_id", "id.*", "score", F.coalesce("matched_cells", none).alias("matched_cells"))
+
+
 def window_join(points: DataFrame, records: DataFrame, before_us: int, after_us: int, key: str = "unit") -> DataFrame:
     """Records whose time lies in the window around a point of the same key, both ends included.
 
@@ -82,5 +112,5 @@ def window_counts(points: DataFrame, records: DataFrame, before_us: int, after_u
 
 def best_rows(scored: DataFrame, keys: list[str], keep_ties: bool = True) -> DataFrame:
     """Rows of the highest score per key; with ties, or the first by sheet and row."""
-    place = F.rank().over(W.partitionBy(*keys).orderBy(F.desc("score"))) if keep_ties else F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "sheet_id", "row_no"))
+    place = F.rank().over(W.partitionBy(*keys).orderBy(F.desc("score"))) if keep_ties else F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "sheet_id", "row_no", "ticket_id"))
     return scored.withColumn("place", place).where("place = 1").drop("place")

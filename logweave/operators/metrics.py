@@ -377,6 +377,8 @@ def containments(texts: DataFrame, lines: DataFrame, n: int = 3, also: tuple[str
     keys = list(also)
     held = texts.select("id", *keys, "text").where("text is not null")
     known = lines.select(*keys, "line").where("line is not null and line <> ''").distinct().withColumn("hash", F.md5("line"))
+    if keys:  # what shares no key with the other side is left out first
+        held, known = held.join(known.select(keys).distinct(), keys, "left_semi"), known.join(held.select(keys).distinct(), keys, "left_semi")
     several = F.size(F.split("line", " ")) > 2
     # lines of three words or more
     own = known.where(several).select(*keys, "hash", _inner_words(F.col("line"), n).alias("own"))

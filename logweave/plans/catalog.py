@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.paths import same_path
@@ -28,9 +29,11 @@ def distinct_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and the alphabetically first example of each extension."""
+    """Files and the alphabetically first five examples of each extension."""
     files = _files(spark, sf_dir).select(catalog.extension(F.col("path")).alias("ext"), "path")
-    return files.groupBy("ext").agg(F.count("*").alias("n_files"), F.min("path").alias("example"))
+    place = F.row_number().over(W.partitionBy("ext").orderBy("path"))
+    few = files.distinct().withColumn("place", place).where("place <= 5").groupBy("ext").agg(F.array_join(F.array_sort(F.collect_list("path")), " ").alias("examples"))
+    return files.groupBy("ext").agg(F.count("*").alias("n_files")).join(few, "ext")
 
 
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,9 @@ SQL = {
     "ext_catalog": f"with {_F}, e as (select {_EXT} as ext, n_bytes from f) select ext, count(*) as n_files, cast(sum(n_bytes) as bigint) as n_bytes from e group by ext union all select '*', count(*), cast(sum(n_bytes) as bigint) from e",
     "suffix_counts": f"with {_F} select array_to_string(string_split({_NAME}, '.')[2:], '.') as combination, count(*) as n from f group by 1",
     "distinct_suffix": f"with {_F}, s as (select unnest(string_split({_NAME}, '.')[2:]) as suffix from f) select suffix, count(*) as n from s group by 1",
-    "ext_examples": f"with {_F} select {_EXT} as ext, count(*) as n_files, min(path) as example from f group by 1",
+    "ext_examples": f"with {_F}, x as (select {_EXT} as ext, path from f), d as (select ext, path, row_number() over (partition by ext order by path) as place from (select distinct * from x)) select ext, n_files, examples from (select ext, count(*) as n_files from x group by 1) join (select ext, string_agg(path, ' ' order by path) as examples from d where place <= 5 group by 1) using (ext)",
+    "binary_sniff": """with h as (select doc_id, encode(text) as b from documents where text is not null), x as (select doc_id, least(octet_length(b), 4096) as n, regexp_replace(hex(b[1:4096]), '(..)', '\\1 ', 'g') as p from h)
+select doc_id, n > 0 and (starts_with(p, '00 ') or contains(p, ' 00 ') or len(regexp_extract_all(p, '(?:0[1-8]|0[EF]|1[0-9A-F]|7F) ')) > n * 0.2) as looks_binary from x""",
     "file_kinds": f"with {_F} select {_KIND.format(n=_NAME)} as kind, count(*) as n from f group by 1",
     "archive_candidates": f"""with {_F} select distinct path, regexp_replace({_NAME}, '\\.[^.]*$', '') || '-' || left(sha1(lower(path)), 10) as folder from f
 where len(list_intersect(string_split({_NAME}, '.')[2:], ['7z','gz','zip','bkp','old','0','1','2','3','4','5'])) > 0""",

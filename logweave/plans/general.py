@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.operators import archive, intervals, log_lines, timestamps
@@ -32,9 +33,19 @@ def p7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.select("container_id", F.explode("entries").alias("e")).select("container_id", "e.path", "e.seq_no", "e.position", "e.size", "e.crc")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_index": p7_index}
+def p7_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the index with its size, and whether it begins where the one before it in its container ends."""
+    order = W.partitionBy("container_id").orderBy("position", "size")
+    ends = F.coalesce(F.lag(F.col("position") + F.col("size")).over(order), F.lit(0))
+    return p7_index(spark, sf_dir).select("path", F.col("seq_no").cast("bigint").alias("seq_no"), F.col("size").cast("bigint").alias("size"), (ends == F.col("position")).alias("adjoins"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_index": p7_index, "p7_entries": p7_entries}
 
 SQL = {
+    "p7_entries": r"""
+select p as path, cast(seq_no as bigint) as seq_no, max(octet_length(encode(coalesce(body, '')))) as size, true as adjoins
+from (select replace(source_path, '\', '/') as p, * from file_fragments where source_path is not null and seq_no is not null) group by 1, 2""",
     "p2_found": r"""
 with b as (
   select distinct replace(source_path, '\', '/') as p, epoch_us(time_start) as s, epoch_us(time_end) as e

@@ -40,26 +40,26 @@ def row_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("matched_date").agg(F.count_distinct("ticket_id").alias("n_tickets"), F.count_distinct("sheet_id").alias("n_sheets"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result and ticket row of one date with the number of distinct source lines that the ticket quotes, numbers aside."""
-    results = table(spark, sf_dir, "match_results").select("result_id", "matched_date", F.explode("match_list").alias("x"))
-    lines = results.select("result_id", "matched_date", F.explode("x.matched_source_lines").alias("raw"))
-    lines = lines.select("result_id", "matched_date", F.explode(m.line_variants(F.col("raw"))).alias("line"))
-    lines = lines.withColumn("line", m.line_shape(F.col("line"))).distinct()
-    tickets = _tickets(spark, sf_dir).select("ticket_id", "sheet_id", "row_no", F.explode("matched_dates").alias("matched_date"), F.posexplode("row_values").alias("cell_no", "cell"))
-    cells = tickets.select("ticket_id", "sheet_id", "row_no", "matched_date", F.explode(F.split("cell", "\n")).alias("cell_line"))
-    quoted = cells.select("ticket_id", "sheet_id", "row_no", "matched_date", m.line_shape(m.normal_text(m.plain_line(F.col("cell_line")))).alias("line")).where("length(line) >= 4").distinct()
-    return lines.join(quoted, ["matched_date", "line"]).groupBy("result_id", "ticket_id", "sheet_id", "row_no").agg(F.count_distinct("line").alias("score"))
+def _scored(spark: SparkSession, sf_dir: str, shapes: bool = False) -> DataFrame:
+    """Result and ticket row of one date with the source lines that the row quotes: score and hits per column."""
+    lines = table(spark, sf_dir, "match_results").select("result_id", "matched_date", F.explode("match_list").alias("x")).select("result_id", "matched_date", F.explode("x.matched_source_lines").alias("line"))
+    rows = _tickets(spark, sf_dir).select("ticket_id", "sheet_id", "row_no", "matched_dates", "cells")
+    return m.score_rows(lines, rows, shapes)
 
 
 def best_row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.best_rows(_scored(spark, sf_dir), ["result_id"], keep_ties=False).select("result_id", "ticket_id", "score")
+    return m.best_rows(_scored(spark, sf_dir), ["result_id"], keep_ties=False).select("result_id", "ticket_id", "score", F.to_json("matched_cells").alias("matched_cells"))
 
 
 def best_row_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.best_rows(_scored(spark, sf_dir), ["result_id"]).select("result_id", "ticket_id", "score")
 
 
+def best_row_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``best_row_match`` with lines and cells compared without their numbers."""
+    return m.best_rows(_scored(spark, sf_dir, shapes=True), ["result_id"], keep_ties=False).select("result_id", "ticket_id", "score", F.to_json("matched_cells").alias("matched_cells"))
+
+
 def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "match_results")
     return results.agg(
@@ -150,34 +150,38 @@ def dates_in_either(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "incident_chunks": incident_chunks, "evidence_lines": evidence_lines, "dates_in_both": dates_in_both, "dates_in_either": dates_in_either,
-    "date_exact_match": date_exact_match, "date_overlap": date_overlap, "row_by_date": row_by_date, "best_row_match": best_row_match, "best_row_ties": best_row_ties, "match_stats": match_stats,
+    "date_exact_match": date_exact_match, "date_overlap": date_overlap, "row_by_date": row_by_date, "best_row_match": best_row_match, "best_row_ties": best_row_ties, "best_row_shapes": best_row_shapes, "match_stats": match_stats,
     "unmatched_tickets": unmatched_tickets, "value_at_header": value_at_header, "incident_window_counts": incident_window_counts, "incident_window_join": incident_window_join,
     "marker_events": marker_events, "line_variants": line_variants,
 }
 
-_PLAIN = r"trim(regexp_replace(regexp_replace(replace({x}, '<time>', ''), '^\s*\d{{2}}:\d{{2}}:\d{{2}}\s+', ''), '^[\s:|-]+', ''))"
 _NORMAL = r"lower(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
 
 
-def _plain(x: str) -> str:
-    return _NORMAL.format(x=_PLAIN.format(x=x))
-
-
 _TICKETS = "tk as (select distinct on (ticket_id, sheet_id, row_no) * from ticket_rows)"
 _UNIT = f"""cells as (select ticket_id, unnest(list_zip(headers, row_values)) as c, unnest(range(0, len(headers))) as place from tk),
 units as (select ticket_id, nullif(regexp_replace(upper(arg_min(c[2], place)), '[^A-Z0-9]', '', 'g'), '') as unit from cells where lower(trim(c[1])) in ('vehicle', 'unit', 'train set') and trim(c[2]) <> '' group by 1)"""
 _POINTS = f"{_TICKETS}, {_UNIT}, pts as (select unit, incident_id, epoch_us(cast(mapped_date as timestamptz)) as at from incidents i join tk using (ticket_id) left join units using (ticket_id))"
 _CHUNKS = r"ch as (select replace(regexp_extract(source_path, '^[^/\\]*'), '-', '') as unit, id, epoch_us(time_start) as at from log_chunks where has_time and time_start is not null)"
-_SCORED = f"""{_TICKETS},
+_STRIPPED = r"trim(regexp_replace(regexp_replace(trim({x}), '^(?i)<time>\s*', ''), '^\s*[-:|]\s*', ''))"
+
+
+def _scored_sql(shapes: bool = False) -> str:
+    def seen(x: str) -> str:
+        return f"regexp_replace({x}, '0x[0-9a-f]+|[0-9]+(\\.[0-9]+)?', '#', 'g')" if shapes else x
+
+    return f"""{_TICKETS},
 ml as (select result_id, matched_date, unnest(match_list) as x from match_results),
-raw as (select result_id, matched_date, unnest(x.matched_source_lines) as r from ml),
-u as (select result_id, matched_date, unnest([{_NORMAL.format(x="r")}, {_plain("r")}]) as w from raw),
-v as (select distinct result_id, matched_date, regexp_replace(w, '0x[0-9a-f]+|[0-9]+(\\.[0-9]+)?', '#', 'g') as line from u where length(w) >= 4),
-tc as (select ticket_id, sheet_id, row_no, unnest(matched_dates) as matched_date, row_values from tk),
-td as (select ticket_id, sheet_id, row_no, matched_date, unnest(row_values) as cell from tc),
-te as (select ticket_id, sheet_id, row_no, matched_date, unnest(string_split(cell, chr(10))) as l from td),
-q as (select distinct ticket_id, sheet_id, row_no, matched_date, regexp_replace({_plain("l")}, '0x[0-9a-f]+|[0-9]+(\\.[0-9]+)?', '#', 'g') as line from te),
-s as (select result_id, ticket_id, sheet_id, row_no, count(distinct line) as score from v join q using (matched_date, line) where length(line) >= 4 group by 1, 2, 3, 4)"""
+raw as (select distinct result_id, matched_date, unnest(x.matched_source_lines) as r from ml),
+v as (select distinct result_id, matched_date, r, {seen("w")} as w from (select result_id, matched_date, r, unnest([{_NORMAL.format(x="r")}, {_NORMAL.format(x=_STRIPPED.format(x="r"))}]) as w from raw) where length(w) >= 4),
+td as (select distinct ticket_id, sheet_id, row_no, unnest(matched_dates) as matched_date, cells from tk),
+tc as (select ticket_id, sheet_id, row_no, matched_date, list_filter(list_transform(list_filter(cells, lambda c: c.cell_value is not null), lambda c: [c.col_letter, {seen(_NORMAL.format(x="c.cell_value"))}]), lambda c: c[2] <> '') as cs from td),
+tb as (select *, array_to_string(list_transform(cs, lambda c: c[2]), ' | ') as blob from tc),
+h as (select result_id, ticket_id, sheet_id, row_no, r, list_distinct(flatten(list(list_transform(list_filter(cs, lambda c: contains(c[2], w)), lambda c: c[1])))) as cols from v join tb using (matched_date) where contains(blob, w) group by 1, 2, 3, 4, 5),
+s as (select result_id, ticket_id, sheet_id, row_no, count(*) as score from h group by 1, 2, 3, 4),
+hc as (select result_id, ticket_id, sheet_id, row_no, col, count(*) as n from (select *, unnest(cols) as col from h) where col is not null group by 1, 2, 3, 4, 5),
+sc as (select s.*, coalesce(j, '{{}}') as matched_cells from s left join (select result_id, ticket_id, sheet_id, row_no, '{{' || string_agg('"' || col || '":' || n, ',' order by col) || '}}' as j from hc group by 1, 2, 3, 4) using (result_id, ticket_id, sheet_id, row_no))"""
+
 
 _EVIDENCE = """r as (select replace(regexp_extract(source_path, '^[^/\\\\]*'), '-', '') as unit, replace(source_path, '\\', '/') as source_path, unnest(content_json) as e from log_chunks),
 w as (select incident_id, source_path, epoch_us(e.ts_start) as ts, e.text as text, e.cnt as cnt from pts join r on pts.unit = r.unit and epoch_us(e.ts_start) between pts.at - 3600000000 and pts.at + 600000000),
@@ -193,8 +197,9 @@ b as (select cast(epoch(date_trunc('second', cast(mapped_date as timestamptz)))
 select second, n_results, n_incidents from a join b using (second)""",
     "date_overlap": "select result_id, matched_date from match_results where matched_date in (select unnest(matched_dates) from ticket_rows)",
     "row_by_date": f"with {_TICKETS}, d as (select ticket_id, sheet_id, unnest(matched_dates) as matched_date from tk) select matched_date, count(distinct ticket_id) as n_tickets, count(distinct sheet_id) as n_sheets from d group by 1",
-    "best_row_match": f"with {_SCORED} select result_id, ticket_id, score from (select *, row_number() over (partition by result_id order by score desc, sheet_id, row_no) as place from s) where place = 1",
-    "best_row_ties": f"with {_SCORED} select result_id, ticket_id, score from (select *, rank() over (partition by result_id order by score desc) as place from s) where place = 1",
+    "best_row_match": f"with {_scored_sql()} select result_id, ticket_id, score, matched_cells from (select *, row_number() over (partition by result_id order by score desc, sheet_id, row_no, ticket_id) as place from sc) where place = 1",
+    "best_row_shapes": f"with {_scored_sql(shapes=True)} select result_id, ticket_id, score, matched_cells from (select *, row_number() over (partition by result_id order by score desc, sheet_id, row_no, ticket_id) as place from sc) where place = 1",
+    "best_row_ties": f"with {_scored_sql()} select result_id, ticket_id, score from (select *, rank() over (partition by result_id order by score desc) as place from s) where place = 1",
     "match_stats": "select count(*) as n_results, count(*) filter (len(match_list) > 0) as n_matched, count(*) filter (had_date_overlap) as n_overlap, count(*) filter (len(match_list) > 1) as n_several from match_results",
     "unmatched_tickets": f"""with {_TICKETS} select incident_id, ticket_id from incidents join tk using (ticket_id) where mapped_date is not null
 and len(list_filter(row_values, lambda v: coalesce(contains(v, replace(left(mapped_date, 19), 'T', ' ')), false))) = 0""",
@@ -207,5 +212,5 @@ with r as (select unnest(content_json) as e from log_chunks), t as (select e.ts_
 mk as (select * from (values ('emergency', 1), ('lost sync', 2), ('stalled', 3)) as v(marker, severity))
 select marker, severity, count(*) as n_events, count(distinct cast(ts as date)) as n_days from t join mk on contains(text, marker) group by 1, 2""",
     "line_variants": f"""with ml as (select result_id, unnest(match_list) as x from match_results), raw as (select result_id, unnest(x.matched_source_lines) as r from ml),
-v as (select distinct result_id, unnest([{_NORMAL.format(x="r")}, {_plain("r")}]) as variant from raw) select result_id, variant from v where length(variant) >= 4""",
+v as (select distinct result_id, unnest([{_NORMAL.format(x="r")}, {_NORMAL.format(x=_STRIPPED.format(x="r"))}]) as variant from raw) select result_id, variant from v where length(variant) >= 4""",
 }

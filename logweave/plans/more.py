@@ -103,11 +103,16 @@ SQL = {
 select stage_id, case when place = 0 then name else place || '-' || name end as "unique" from n""",
     "collapsed_listing": f"""with l as (select distinct string_split({_PATH}, '/')[1] as folder, string_split({_PATH}, '/')[3] as name from staged_chunks where source_path is not null and len(string_split({_PATH}, '/')) > 2),
 n as (select *, contains(name, '-log-') as m, row_number() over (partition by folder order by name) as i from l),
-r as (select *, case when m then i - row_number() over (partition by folder, m order by name) else -i end as run from n)
-select folder, min(name) as first_name, count(*) as n from r group by folder, m, run""",
+r as (select *, case when m then i - row_number() over (partition by folder, m order by name) else -i end as run, not m and coalesce(lag(m) over (partition by folder order by name), false) as ends from n)
+select folder, min(name) as first_name, count(*) as n from r where not ends group by folder, m, run""",
     "incident_days": r"""with f as (select distinct unnest(string_split_regex(replace(source_path, '_', 'T'), '[/\\]')) as folder from staged_chunks where source_path is not null),
 d as (select try_strptime(string_split(folder, 'T')[1], '%Y-%m-%d') as day from f where regexp_matches(string_split(folder, 'T')[1], '^\d{4}-\d{2}-\d{2}$'))
 select year(day) as y, month(day) as m, count(*) as n from d where day is not null group by 1, 2""",
+    "wanted_files": r"""with f as (select string_split(regexp_extract(source_path, '[^/\\]*$'), '.')[2:] as own from staged_chunks),
+e as (select own, list_transform(own, lambda x: lower(x)) as low from f),
+x as (select case when own is null then null when len(low) = 0 then 'none' when list_contains(low, 'log') then case when low[-1] = 'gz' then 'log.gz' else 'log' end
+  else coalesce(list_filter(low, lambda v: v not in ('bkp', 'old', '0', '1', '2', '3', '4', '5', '6', '7', '8'))[-1], low[-1]) end as ext from e)
+select case ext when 'log' then true when 'txt' then true when 'js' then false end as wanted, count(*) as n from x group by 1""",
     "marker_grouped": """with r as (select source_path, unnest(content_json) as e from log_chunks) select cast(floor(epoch(e.ts_start)) as bigint) as second, count(distinct source_path) as n_sources, count(*) as n_lines
 from r where contains(e.text, 'interlock') and e.ts_start is not null group by 1""",
     "event_texts": "with r as (select unnest(content_json) as e from log_chunks) select md5(regexp_replace(e.text, '[0-9]+', '0', 'g')) as text_md5, count(*) as n from r where e.ts_start is not null group by 1",

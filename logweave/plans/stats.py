@@ -69,9 +69,12 @@ def run_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, median and population variance of a metric."""
+    """Mean, median, population variance, sample deviation and extremes of a metric."""
     items = table(spark, sf_dir, "lineitem")
-    return items.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.median("l_quantity"), 4).alias("median"), F.round(F.var_pop("l_quantity"), 4).alias("variation"))
+    return items.groupBy("l_returnflag").agg(
+        F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.median("l_quantity"), 4).alias("median"), F.round(F.var_pop("l_quantity"), 4).alias("variation"),
+        F.round(F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)), 6).alias("deviation"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"),
+    )
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +156,7 @@ select strftime(d.day, '%Y-%m-%d') as day, k.event_type, coalesce(n, 0) as n fro
 round(coalesce(stddev_samp(value), 0), 6) as deviation, min(value) as least, max(value) as most from q group by sample""",
     "run_overall": f"""with {_RUN}, s as (select sample, avg(value) as mean, coalesce(var_samp(value), 0) as variance from r group by 1)
 select count(*) as n_samples, round(avg(mean), 6) as mean, round(var_samp(mean), 6) as variance_of_means, round(avg(variance), 6) as variance_within from s""",
-    "metric_summary": "select l_returnflag, round(avg(l_extendedprice), 4) as mean, round(median(l_quantity), 4) as median, round(var_pop(l_quantity), 4) as variation from lineitem group by 1",
+    "metric_summary": "select l_returnflag, round(avg(l_extendedprice), 4) as mean, round(median(l_quantity), 4) as median, round(var_pop(l_quantity), 4) as variation, round(coalesce(stddev_samp(l_quantity), 0), 6) as deviation, min(l_quantity) as least, max(l_quantity) as most from lineitem group by 1",
     "improved_unchanged_worsened": f"""with {_PAIR} select l_returnflag as "group", count(*) filter (after > before) as improved, count(*) filter (after = before) as unchanged, count(*) filter (after < before) as worsened,
 round(avg(after - before), 6) as mean_change from p where before is not null and after is not null group by 1""",
     "micro_macro_recall": """with o as (select l_orderkey, count(*) filter (l_returnflag = 'R') as a, count(*) as t from lineitem group by 1)

@@ -33,14 +33,17 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where nothing is set
-    (tests, local runs) a temporary folder of this machine is taken.
+    A cluster names it in ``spark.checkpoint.dir``; where nothing is set a
+    local session takes a temporary folder of its machine, and a cluster,
+    whose executors could not read one, raises an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = os.path.join(tempfile.gettempdir(), "logweave-checkpoints")
     context.setCheckpointDir(folder)

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 # Number formats of dates, and written dates.
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
-_WRITTEN = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d/%m/%Y", "%Y/%m/%d %H:%M", "%Y/%m/%d")
-_EPOCH = datetime(1899, 12, 30)
-_MAX_BYTES = 512 << 20
+_WRITTEN = (
+    "%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y %I:%M %p", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y", "%m/%d/%y %I:%M:%S %p", "%m/%d/%y %I:%M %p", "%m/%d/%y %H:%M:%S", "%m/%d/%y %H:%M", "%m/%d/%y",
+    "%d-%b-%Y %H:%M:%S", "%d-%b-%Y %H:%M", "%d-%b-%Y", "%d-%b-%y %H:%M:%S", "%d-%b-%y %H:%M", "%d-%b-%y",
+)
+_LOOKS_WRITTEN = re.compile(r"(?i)(?:\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}-[a-z]{3}-\d{2,4})(?:\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:am|pm)?)?")
+_LONGEST_WRITTEN = 40
+#: Days are counted from here, or from the second date in workbooks that say so.
+_EPOCH, _EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
 
 
 def _local(tag: str) -> str:
@@ -42,11 +47,13 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
 
 
 def written_date(text: str) -> datetime | None:
-    if len(text) > 40 or not re.match(r"\s*\d{1,4}[-./]\d{1,2}[-./]\d{1,4}", text):
+    """A date as tickets write it, month first with slashes or day first with a month name; None for any other text."""
+    text = text.strip()
+    if len(text) > _LONGEST_WRITTEN or not _LOOKS_WRITTEN.fullmatch(text):
         return None
     for form in _WRITTEN:
         try:
-            return datetime.strptime(text.strip(), form)
+            return datetime.strptime(text, form)
         except ValueError:
             continue
     return None
@@ -55,14 +62,17 @@ def written_date(text: str) -> datetime | None:
 def workbook_cells(data: bytes) -> Iterator[tuple[int, str, int, str, str, datetime | None]]:
     """(sheet_id from 1, sheet_name, row_no, col_letter, value, time of a date cell) of every filled cell."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        if sum(i.file_size for i in book.infolist()) > _MAX_BYTES:
-            raise ValueError("workbook is too large when unpacked")
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")):
-                shared.append("".join(e.text or "" for e in item.iter() if _local(e.tag) == "t"))
+            with book.open("xl/sharedStrings.xml") as stream:  # item by item, whatever its size
+                for _, item in ElementTree.iterparse(stream):
+                    if _local(item.tag) == "si":
+                        shared.append("".join(e.text or "" for e in item.iter() if _local(e.tag) == "t"))
+                        item.clear()
         dates = _date_styles(book)
-        names = [e.get("name") for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
+        described = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        names = [e.get("name") for e in described.iter() if _local(e.tag) == "sheet"]
+        epoch = _EPOCH_1904 if any(_local(e.tag) == "workbookPr" and e.get("date1904") in ("1", "true") for e in described.iter()) else _EPOCH
         for sheet_id, name in enumerate(names, 1):
             part = f"xl/worksheets/sheet{sheet_id}.xml"
             if part not in book.namelist():
@@ -78,7 +88,7 @@ def workbook_cells(data: bytes) -> Iterator[tuple[int, str, int, str, str, datet
                     if kind == "s" and value:
                         value = shared[int(value)]
                     elif kind == "n" and value and int(cell.get("s", 0)) in dates:
-                        time = _EPOCH + timedelta(seconds=round(float(value) * 86400))
+                        time = epoch + timedelta(seconds=round(float(value) * 86400))
                         value = time.isoformat(sep=" ")
                     if value != "":
                         column = _column(reference)

@@ -160,6 +160,21 @@ def test_windows(spark):
     assert {x.point_id: x.n for x in matching.window_counts(p, r, day, day // 2).collect()} == {i: sum(a == i for a, _ in brute) for _, i, _ in points}
 
 
+def test_rows_that_quote_lines(spark):
+    cell = lambda c, v: (c, "h", v)
+    rows = [
+        (1, 1, 1, ["d1", "d1"], [cell("A", "Fan  FROZE at 3"), cell("B", None), cell("C", "door open | fan froze at 3")]), (2, 1, 2, ["d1", "d2"], [cell("A", "door"), cell("B", "open")]), (3, 2, 1, None, [cell("A", "fan froze at 3")]), (4, 2, 2, ["d2"], None),
+    ]
+    lines = [(7, "d1", "<time> - fan froze at 3"), (7, "d1", "door open"), (7, "d1", "door | open"), (7, "d1", "<time> - fan froze at 3"), (8, "d2", "door open"), (8, "d2", "oor"), (9, "d1", "fan froze at 4"), (9, None, "door open"), (9, "d1", None)]
+    r = spark.createDataFrame(rows, "ticket_id int, sheet_id int, row_no int, matched_dates array<string>, cells array<struct<col_letter string, header_name string, cell_value string>>")
+    n = spark.createDataFrame(lines, "result_id int, matched_date string, line string")
+    got = {(x.result_id, x.ticket_id): (x.score, x.matched_cells) for x in matching.score_rows(n, r).collect()}
+    assert got == {(7, 1): (2, {"A": 1, "C": 2}), (7, 2): (1, {})}
+    shapes = {(x.result_id, x.ticket_id): x.score for x in matching.score_rows(n, r, shapes=True).collect()}
+    assert shapes == {(7, 1): 2, (7, 2): 1, (9, 1): 1}
+    assert matching.score_rows(n.limit(0), r).count() == 0 and matching.score_rows(n, r.limit(0)).count() == 0
+
+
 def test_signed_rank():
     assert stats.signed_rank([1, 2, 3, 4, 5]) == (0.0, 0.0625)
     assert stats.signed_rank([]) == (0.0, 1.0) and stats.signed_rank([0, 0]) == (0.0, 1.0)
@@ -205,7 +220,7 @@ def test_catalogue_helpers(spark):
     names = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a")], "n bigint, name string")
     assert [r.unique for r in catalog.unique_names(names, "name", "n").orderBy("key").collect()] == ["a", "1-a", "b", "2-a"]
     listing = spark.createDataFrame([("f", x) for x in ("a", "h1", "h2", "k", "h3")], "folder string, name string")
-    assert sorted((r.first_name, r.n) for r in catalog.collapse_siblings(listing, "h").collect()) == [("a", 1), ("h1", 3), ("k", 1)]
+    assert sorted((r.first_name, r.n) for r in catalog.collapse_siblings(listing, "h").collect()) == [("a", 1), ("h1", 3)]
     days = catalog.dated_folders(spark.createDataFrame([("x/2016-01-02T03/y",), ("2016-02-30",), (None,)], "p string"), "p")
     assert [str(r.day) for r in days.collect()] == ["2016-01-02"]
     sizes = spark.createDataFrame([(0,), (1024,), (1 << 30,), (None,)], "n bigint").select(catalog.human_size(F.col("n"))).collect()

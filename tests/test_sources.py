@@ -15,7 +15,7 @@ from logweave.streaming import live
 
 BOOK = {
     "xl/workbook.xml": '<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="North" sheetId="1"/><sheet name="Empty" sheetId="2"/></sheets></workbook>',
-    "xl/sharedStrings.xml": '<sst xmlns="m"><si><t>Unit</t></si><si><r><t>Reported </t></r><r><t>at</t></r></si><si><t>KRV-1</t></si><si><t>2016-01-05 10:00</t></si></sst>',
+    "xl/sharedStrings.xml": '<sst xmlns="m"><si><t>Unit</t></si><si><r><t>Reported </t></r><r><t>at</t></r></si><si><t>KRV-1</t></si><si><t>1/5/2016 10:00</t></si></sst>',
     "xl/styles.xml": '<styleSheet xmlns="m"><numFmts><numFmt numFmtId="170" formatCode="yyyy-mm-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="22"/></cellXfs></styleSheet>',
     "xl/worksheets/sheet1.xml": '<worksheet xmlns="m"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
     '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2" s="2"><v>42374.5</v></c><c r="AA2"><v>7</v></c></row><row r="3"><c r="B3" t="s"><v>3</v></c><c r="A3"><v></v></c></row><row r="4"><c r="A4" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>',
@@ -42,6 +42,21 @@ def test_workbook(spark, tmp_path):
     assert row.headers == ["Unit", "Reported at"] and row.row_values == ["KRV-1", "2016-01-05 12:00:00"]
 
 
+def test_written_dates():
+    at = dt.datetime
+    assert [xlsx.written_date(t) for t in ("8/18/2025 3:04 PM", " 29-Mar-21 ", "8/9/2025", "8/9/25 07:08:09", "31-Dec-2020 23:59")] == [at(2025, 8, 18, 15, 4), at(2021, 3, 29), at(2025, 8, 9), at(2025, 8, 9, 7, 8, 9), at(2020, 12, 31, 23, 59)]
+    assert [xlsx.written_date(t) for t in ("18/8/2025", "2025-08-18", "1.2.2016", "", "8/18/2025 x", "x" * 50, "8/18/2025" + " " * 60 + "1:02:03 PM")] == [None] * 7
+
+
+def test_workbook_of_1904(spark, tmp_path):
+    source = zipfile.ZipFile(io.BytesIO(book()))
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as out:
+        for name in source.namelist():
+            out.writestr(name, source.read(name).replace(b"<sheets>", b'<workbookPr date1904="1"/><sheets>'))
+    cells = xlsx.read_cells(spark, str(tmp_path)).where("sheet_id = 1 and cell_time is not null").collect()
+    assert dt.datetime(2020, 1, 6, 12) in {r.cell_time for r in cells}
+
+
 def test_unpack(spark, tmp_path):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
