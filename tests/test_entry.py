@@ -31,9 +31,13 @@ def cell(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+#: Queries of the core; those of the optional subpackage are tested beside it.
+CORE = {name: query for module in entry.CORE for name, query in module.QUERIES.items()}
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_query(spark, duck, name):
-    frame = entry.queries()[name](spark, DATA)
+    frame = CORE[name](spark, DATA)
     columns = sorted(frame.columns)
     got = sorted(tuple(cell(r[c]) for c in columns) for r in frame.collect())
     sql = entry.oracle_sql().get(name)
