@@ -87,8 +87,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``items``: item_id, size (null counts as 0).  An item over the capacity is
     split into parts of the capacity and a rest; no other is split.  Items of
-    no size stand in some bin.  Bins that may still take others (at most half
-    full after round one) are packed again as items; no items give no bins.
+    no size stand in some bin.  Bins that are not full after round one are
+    packed again as items; no items give no bins.
     """
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
